@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ..tables import table
-from . import bpe, packing, spam, splitting
+from ..tables import table, text_rows
+from . import bpe, encoding, packing, spam, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.found(text_rows(spark, sf_dir), table(spark, sf_dir, "files"))
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restore(text_rows(spark, sf_dir), table(spark, sf_dir, "files"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_found(table(spark, sf_dir, "chunks"))
 
@@ -48,6 +56,8 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_restored": p1_restored,
         "p7_found": p7_found,
         "p7_pieces": p7_pieces,
         "p8_ids": p8_ids,
