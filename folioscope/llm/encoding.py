@@ -299,7 +299,7 @@ def candidates(sym: str, char: str, lm: BigramModel, frequent: list[str]) -> dic
         for true in PAGES:
             e = CHAR_OF[true].get(b)
             if e is not None and e != sym and e in LETTERS and lm.n[e] >= 5:
-                out[e] = 0.01
+                out[e] = 0.002
     return out
 
 
