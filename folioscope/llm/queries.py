@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..tables import table, text_rows
-from . import bpe, encoding, packing, spam, splitting
+from . import bpe, encoding, packing, pii, spam, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,14 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restore(text_rows(spark, sf_dir), table(spark, sf_dir, "files"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(text_rows(spark, sf_dir), table(spark, sf_dir, "name_forms"))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(text_rows(spark, sf_dir), table(spark, sf_dir, "name_forms"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_found(table(spark, sf_dir, "chunks"))
 
@@ -58,6 +66,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_restored": p1_restored,
+        "p3_found": p3_found,
+        "p3_redacted": p3_redacted,
         "p7_found": p7_found,
         "p7_pieces": p7_pieces,
         "p8_ids": p8_ids,
