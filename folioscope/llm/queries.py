@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..tables import table, text_rows
-from . import bpe, encoding, packing, pii, spam, splitting
+from . import bpe, encoding, packing, pii, scans, spam, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,20 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(text_rows(spark, sf_dir), table(spark, sf_dir, "name_forms"))
 
 
+def _scan_noise(spark: SparkSession, sf_dir: str) -> scans.ScanNoise:
+    n = table(spark, sf_dir, "nodes").where(F.col("kind").isin("page", "chunk", "segment"))
+    pages = n.where("kind = 'page'").select(F.col("id").alias("node_id"), F.col("owner_file_id").cast("long").alias("file_id"), F.get_json_object("props", "$.page").cast("int").alias("page"), F.col("body").alias("text"))
+    return scans.ScanNoise(n.select(F.col("body").alias("text"), (F.col("kind") == "page").alias("is_page")), pages)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan_noise(spark, sf_dir).found()
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan_noise(spark, sf_dir).repaired()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_found(table(spark, sf_dir, "chunks"))
 
@@ -68,6 +82,8 @@ def queries() -> dict[str, Query]:
         "p1_restored": p1_restored,
         "p3_found": p3_found,
         "p3_redacted": p3_redacted,
+        "p5_found": p5_found,
+        "p5_repaired": p5_repaired,
         "p7_found": p7_found,
         "p7_pieces": p7_pieces,
         "p8_ids": p8_ids,
