@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..tables import table, text_rows
-from . import bpe, encoding, packing, pii, scans, spam, splitting
+from . import bpe, encoding, names, packing, pii, scans, spam, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,19 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(text_rows(spark, sf_dir), table(spark, sf_dir, "name_forms"))
 
 
+def _entity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nodes").where("kind = 'entity'").select("id", "name", F.get_json_object("props", "$.entity_type").alias("kind"))
+    return n.where(F.col("kind").isin("person", "org"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_pairs(_entity_nodes(spark, sf_dir), table(spark, sf_dir, "name_forms"))
+
+
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entities(_entity_nodes(spark, sf_dir), table(spark, sf_dir, "name_forms"))
+
+
 def _scan_noise(spark: SparkSession, sf_dir: str) -> scans.ScanNoise:
     n = table(spark, sf_dir, "nodes").where(F.col("kind").isin("page", "chunk", "segment"))
     pages = n.where("kind = 'page'").select(F.col("id").alias("node_id"), F.col("owner_file_id").cast("long").alias("file_id"), F.get_json_object("props", "$.page").cast("int").alias("page"), F.col("body").alias("text"))
@@ -82,6 +95,8 @@ def queries() -> dict[str, Query]:
         "p1_restored": p1_restored,
         "p3_found": p3_found,
         "p3_redacted": p3_redacted,
+        "p4_found": p4_found,
+        "p4_entities": p4_entities,
         "p5_found": p5_found,
         "p5_repaired": p5_repaired,
         "p7_found": p7_found,
