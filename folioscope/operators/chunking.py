@@ -127,7 +127,8 @@ def windows(segments: DataFrame, span: float = 45.0, chars: int = 900) -> DataFr
             out.append(group)
         return pd.DataFrame([(key[0], i, g[0][0], g[-1][1], " ".join(x[2] for x in g)) for i, g in enumerate(out)], columns=["file", "ord", "start_time", "end_time", "text"])
 
-    return segments.select("file", "start_time", "end_time", "text").groupBy("file").applyInPandas(run, "file string, ord int, start_time double, end_time double, text string")
+    kind = segments.schema["file"].dataType.simpleString()
+    return segments.select("file", "start_time", "end_time", "text").groupBy("file").applyInPandas(run, f"file {kind}, ord int, start_time double, end_time double, text string")
 
 
 def frame_segments(frames: DataFrame, wins: DataFrame) -> DataFrame:

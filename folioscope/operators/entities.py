@@ -51,10 +51,10 @@ def _money(d: Column) -> Column:
     return F.concat_ws(" ", code, F.regexp_replace(F.regexp_extract(d, "(?U)\\d[\\d,]*(?:\\.\\d{1,2})?", 0), ",", ""))
 
 
-def mentions(text: Column, limit: int = MOST) -> Column:
+def mentions(text: Column, limit: int | None = MOST) -> Column:
     """array<struct<type, value, display>>: entities of a text, family by family, the first of equal (type, value), at most limit.
 
-    Texts shorter than MIN_TEXT characters, and null, have none.
+    Texts shorter than MIN_TEXT characters, and null, have none. Without a limit repeats stay.
     """
     email = F.transform(_all(text, EMAIL), lambda d: F.regexp_replace(d, "\\.+$", ""))
     url = F.transform(_all(text, URL), lambda d: F.regexp_replace(d, "[.,;:)\\]}\"']+$", ""))
@@ -73,14 +73,18 @@ def mentions(text: Column, limit: int = MOST) -> Column:
         _found(_all(text, UUID), "identifier", F.lower),
         _found(_all(text, IDENTIFIER), "identifier", F.lower),
     )
-    keys = F.transform(found, lambda m: F.concat_ws("\x01", m["type"], m["value"]))
-    first = F.filter(F.transform(found, lambda m, i: F.when(F.array_position(keys, F.concat_ws("\x01", m["type"], m["value"])) == i + 1, m)), lambda m: m.isNotNull())
-    return F.when(F.length(text) >= MIN_TEXT, F.slice(first, 1, limit)).otherwise(F.array().cast(MENTION))
-
-
-def mention_rows(rows: DataFrame, id_col: str, text_col: str, limit: int = MOST) -> DataFrame:
-    """(id, type, value, display), one row a mention."""
-    return rows.select(F.col(id_col), F.explode(mentions(F.col(text_col), limit)).alias("m")).select(id_col, "m.type", "m.value", "m.display")
+    if limit is None:
+        return F.when(F.length(text) >= MIN_TEXT, found).otherwise(F.array().cast(MENTION))
+    # The fold evaluates the matches once; what it has kept is never longer than the limit.
+    known = lambda acc, m: F.exists(acc, lambda k: (k["type"] == m["type"]) & (k["value"] == m["value"]))
+    first = F.aggregate(found, F.array().cast(MENTION), lambda acc, m: F.when((F.size(acc) >= limit) | known(acc, m), acc).otherwise(F.concat(acc, F.array(m))))
+    return F.when(F.length(text) >= MIN_TEXT, first).otherwise(F.array().cast(MENTION))
+
+
+def mention_rows(rows: DataFrame, id_col: str, text_col: str, limit: int | None = MOST) -> DataFrame:
+    """(id, type, value, display), one row a mention; without a limit one row per (id, type, value), with the least display."""
+    m = rows.select(F.col(id_col), F.explode(mentions(F.col(text_col), limit)).alias("m")).select(id_col, "m.type", "m.value", "m.display")
+    return m if limit is not None else m.groupBy(id_col, "type", "value").agg(F.min("display").alias("display"))
 
 
 def link_entities(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -53,9 +53,10 @@ def _hits(toks: Column, words: list[str]) -> Column:
     """How often a phrase stands in a token array."""
     if len(words) == 1:
         return F.size(F.filter(toks, lambda t: t == words[0]))
-    same = F.array(*[F.lit(w) for w in words])
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(toks) - len(words) + 1, F.lit(1))), lambda i: F.slice(toks, i, len(words)) == same)
-    return F.when(F.size(toks) >= len(words), F.size(at)).otherwise(0)
+    here = F.transform(toks, lambda t: t == words[0])
+    for k, w in enumerate(words[1:], 2):  # zipped with the tokens k - 1 places on, so the tokens are made a few times a row, not once a position
+        here = F.zip_with(here, F.slice(toks, k, 1 << 30), lambda a, t, w=w: a & (t == w))
+    return F.size(F.filter(here, lambda x: F.coalesce(x, F.lit(False))))
 
 
 def _bm25(tf: Column, n: Column, dl: Column, total: Column, mean: Column) -> Column:
