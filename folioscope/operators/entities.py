@@ -88,13 +88,13 @@ def mention_rows(rows: DataFrame, id_col: str, text_col: str, limit: int | None
 
 
 def link_entities(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entity nodes and MENTIONS edges of chunks (uid, body, owner, seq). An entity belongs to no file; the edge belongs to the chunk's."""
+    """Entity nodes and MENTIONS edges of chunks (uid, body, owner, seq). An entity belongs to no file (by says which one claims it); the edge belongs to the chunk's."""
     m = chunks.select("uid", "owner", "seq", F.posexplode(mentions(F.col("body"))).alias("k", "m"))
     m = m.select("uid", "owner", "seq", "k", F.col("m.type").alias("type"), F.col("m.value").alias("value"), F.col("m.display").alias("display"))
     m = m.withColumn("ent", M.entity_uid(F.col("type"), F.col("value")))
     nodes = m.select(
         F.col("ent").alias("uid"), F.lit("entity").alias("kind"), F.col("display").alias("name"), F.concat_ws(": ", "type", "display").alias("body"),
-        F.create_map(F.lit("entity_type"), F.col("type"), F.lit("value"), F.col("value")).alias("props"), F.lit(None).cast("string").alias("owner"), (F.col("seq") * 100 + F.col("k")).cast("long").alias("seq"),
+        F.create_map(F.lit("entity_type"), F.col("type"), F.lit("value"), F.col("value")).alias("props"), F.lit(None).cast("string").alias("owner"), (F.col("seq") * 100 + F.col("k")).cast("long").alias("seq"), F.col("owner").alias("by"),
     )
     edges = m.select(
         F.col("uid").alias("src"), F.col("ent").alias("dst"), F.lit("mentions").alias("kind"), F.lit(1.0).alias("weight"), F.lit("extracted").alias("provenance"),

@@ -49,13 +49,17 @@ def phrase(term: str, stem: bool = True) -> list[str]:
     return [X.porter(w) for w in words] if stem else words
 
 
+def _also(word: str):
+    return lambda so_far, t: so_far & (t == word)
+
+
 def _hits(toks: Column, words: list[str]) -> Column:
     """How often a phrase stands in a token array."""
     if len(words) == 1:
         return F.size(F.filter(toks, lambda t: t == words[0]))
     here = F.transform(toks, lambda t: t == words[0])
     for k, w in enumerate(words[1:], 2):  # zipped with the tokens k - 1 places on, so the tokens are made a few times a row, not once a position
-        here = F.zip_with(here, F.slice(toks, k, 1 << 30), lambda a, t, w=w: a & (t == w))
+        here = F.zip_with(here, F.slice(toks, k, 1 << 30), _also(w))
     return F.size(F.filter(here, lambda x: F.coalesce(x, F.lit(False))))
 
 

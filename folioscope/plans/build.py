@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import model as M
 from ..functions import text as X
 from ..operators import changes, chunking, documents, entities, merge, sheets
-from ..session import ship
+from ..session import materialize, ship
 from ..sources import files as S
 from ..sources import readers as R
 
@@ -89,10 +89,11 @@ def _text_docs(found: DataFrame) -> DataFrame:
 
 
 def extract(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Node and edge claims of files (path, size, digest, content)."""
+    """Node and edge claims of files (path, size, digest, content). Nodes have by, the claiming file, which for entities isn't their owner."""
     f = found.withColumn("reader", S.reader(F.col("path"))).withColumn("fmt", S.sniffed(F.col("content")))
-    plain = _text_docs(f.where("reader = 'text'"))
-    parts = R.read_parts(f.where("reader is not null and reader <> 'text'"))
+    # What several tables are made from is written once.
+    plain = materialize(_text_docs(f.where("reader = 'text'")), "plain")
+    parts = materialize(R.read_parts(f.where("reader is not null and reader <> 'text'")), "parts")
     heads = parts.where("kind = 'document'").join(f.select("path", "size", "digest", S.mislabelled(F.col("path"), F.col("fmt")).alias("odd")), "path")
     notes = F.filter(F.concat(F.coalesce(F.from_json("warnings", "array<string>"), F.array().cast("array<string>")), F.array("odd")), lambda w: w.isNotNull())
     other = heads.select("path", "size", "digest", F.lit(None).cast("string").alias("raw"), F.coalesce(X.clean(F.col("text")), F.lit("")).alias("text"), F.coalesce("title", F.element_at(F.split("path", "/"), -1)).alias("title"), notes.alias("warnings"))
@@ -126,7 +127,7 @@ def extract(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     row_nodes = batches.select(M.child_uid(F.col("uid"), "chunk", F.col("ord")).alias("uid"), F.lit("chunk").alias("kind"), F.concat(F.element_at(F.split("path", "/"), -1), F.lit(" rows "), (F.col("ord") * sheets.ROWS + 1).cast("string")).alias("name"), X.clean(F.concat_ws("\n", F.when(F.col("h").isNotNull(), F.concat_ws(" | ", "h")), F.array_join(lines, "\n"))).alias("body"), F.create_map(F.lit("path"), F.col("path"), F.lit("ord"), F.col("ord").cast("string")).alias("props"), F.col("path").alias("owner"), F.col("ord").cast("long").alias("seq"), F.col("uid").alias("parent"))
     page_chunks = chunking.chunk_documents(pages.select(F.concat_ws("\x01", "path", "key").alias("path"), X.clean(F.col("text")).alias("text")))
     page_chunks = page_chunks.withColumn("_key", F.element_at(F.split("path", "\x01"), 2)).withColumn("path", F.element_at(F.split("path", "\x01"), 1)).withColumn("parent", M.child_uid(M.document_uid(F.col("path")), "page", F.col("_key"))).drop("_key")
-    chunk_nodes, chunk_edges = chunking.chunk_graph(chunks.unionByName(page_chunks))
+    chunk_nodes, chunk_edges = chunking.chunk_graph(materialize(chunks.unionByName(page_chunks), "chunks"))
 
     def edges(df: DataFrame, src, dst, kind: str) -> DataFrame:
         return df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), F.lit(1.0).alias("weight"), F.lit("extracted").alias("provenance"), no_props.alias("props"), F.col("owner"), F.col("seq"))
@@ -136,7 +137,8 @@ def extract(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     ent_nodes, ent_edges = entities.link_entities(chunk_nodes.unionByName(row_nodes.drop("parent")).select("uid", "body", "owner", "seq"))
     all_nodes = nodes
     for n in (page_nodes, sheet_nodes, column_nodes.drop("parent"), row_nodes.drop("parent"), chunk_nodes, ent_nodes):
-        all_nodes = all_nodes.unionByName(n)
+        all_nodes = all_nodes.unionByName(n, allowMissingColumns=True)
+    all_nodes = all_nodes.withColumn("by", F.coalesce("by", "owner"))
     all_edges = chunk_edges.unionByName(links).unionByName(ent_edges)
     for e in (edges(page_nodes, doc_of, F.col("uid"), "contains"), edges(sheet_nodes, doc_of, F.col("uid"), "contains"), edges(column_nodes, F.col("parent"), F.col("uid"), "contains"), edges(row_nodes, F.col("parent"), F.col("uid"), "contains")):
         all_edges = all_edges.unionByName(e)
@@ -176,7 +178,7 @@ def build(spark: SparkSession, root: str, store: GraphStore, prune: bool = True)
     live = seen.where("skipped is null")
     known = store.read("manifest", MANIFEST)
     status = changes.classify_listing(live.withColumn("digest", F.lit(None).cast("string")), known)
-    todo = live.join(status.where(F.col("status").isin("new", "changed")), "path").cache()
+    todo = live.join(status.where(F.col("status").isin("new", "changed")), "path")
     n = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     st = Stats(unchanged=n.get("unchanged", 0), removed=n.get("removed", 0) if prune else 0, skipped=seen.where("skipped is not null").count())
     opened = S.contents(todo.select("path", "file", "mtime", "size")).withColumn("digest", S.digest(F.col("content")))
@@ -185,15 +187,11 @@ def build(spark: SparkSession, root: str, store: GraphStore, prune: bool = True)
     k = {r["state"]: r["n"] for r in opened.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
     st.new, st.changed, st.touched = k.get("new", 0), k.get("changed", 0), k.get("touched", 0)
     if not (st.new or st.changed or st.touched or st.removed) and store.current():
-        todo.unpersist()
         return st
     fresh = opened.where("state <> 'touched'")
     gone = status.where("status = 'removed'").select(F.col("path").alias("owner")) if prune else status.limit(0).select(F.col("path").alias("owner"))
     replaced = gone.unionByName(fresh.where("state = 'changed'").select(F.col("path").alias("owner")))
     new_nodes, new_edges = extract(fresh)
-    # An entity has no owner; its claims hang on the mentions of files, so they are kept with the claiming file in by.
-    by_file = new_nodes.join(new_edges.where("kind = 'mentions'").select(F.col("dst").alias("uid"), F.col("owner").alias("file")).distinct(), "uid", "left")
-    new_nodes = by_file.withColumn("by", F.coalesce("owner", "file")).drop("file")
     old_nodes = store.read("node_claims", f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in M.NODES)}, by string")
     keep = old_nodes.join(replaced.select(F.col("owner").alias("by")).distinct(), "by", "left_anti")
     node_claims = keep.unionByName(new_nodes.select(keep.columns))
@@ -211,7 +209,6 @@ def build(spark: SparkSession, root: str, store: GraphStore, prune: bool = True)
     edges.write.parquet(f"{at}/edges")
     st.dropped_edges = dropped.count()
     store.publish(name, {"root": root})
-    todo.unpersist()
     return st
 
 
