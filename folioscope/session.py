@@ -95,3 +95,9 @@ def plan_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only where the estimated size is under the limit; beyond it the join shuffles (AQE still may adapt)."""
     return F.broadcast(df) if plan_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over more tasks if its scan fills less than half of the cores, as with one small file; else unchanged. For steps that cost far more than moving their rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
