@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 #: Where the vocabulary files lie unless the caller says otherwise.
 VOCAB_DIR = os.environ.get("FOLIOSCOPE_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits text before the merges of the rank files.
@@ -170,7 +172,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), ids], ["id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k", vocab_dir: str = VOCAB_DIR) -> DataFrame:
@@ -184,4 +186,4 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), n], ["id", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens int").withColumnRenamed("id", id_col)
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"id {kind}, n_tokens int").withColumnRenamed("id", id_col)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, materialize, spread
 
 # The code pages that propose candidate letters.
 PAGES = ("cp1252", "latin-1", "mac_roman", "cp1250", "cp1251", "cp437", "cp850", "iso8859_2", "cp866", "koi8_r")
@@ -228,7 +228,7 @@ def context_counts(rows: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    part = rows.select("source", "text").mapInPandas(run, "source long, clean boolean, sym string, char string, l string, r string, n long")
+    part = spread(rows.select("source", "text")).mapInPandas(run, "source long, clean boolean, sym string, char string, l string, r string, n long")
     return part.groupBy("source", "clean", "sym", "char", "l", "r").agg(F.sum("n").alias("n"))
 
 
@@ -380,7 +380,7 @@ def garbled_places(rows: DataFrame, decided: DataFrame) -> DataFrame:
                                 out.append((tbl, row, src, a, b, key, x, y, char))
             yield pd.DataFrame(out, columns=["tbl", "row_id", "source", "start", "end", "sym", "l", "r", "char"])
 
-    spots = rows.select("tbl", "row_id", "source", "text").mapInPandas(run, "tbl string, row_id long, source long, start int, end int, sym string, l string, r string, char string")
+    spots = spread(rows.select("tbl", "row_id", "source", "text")).mapInPandas(run, "tbl string, row_id long, source long, start int, end int, sym string, l string, r string, char string")
     hit = spots.join(decided.select("source", "sym", "l", "r", "letter"), ["source", "sym", "l", "r"])
     return hit.select("tbl", "row_id", "start", "end", F.when(F.col("letter") == "", F.col("char")).otherwise(F.col("letter")).alias("letter"))
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 
 ROUNDS = 2
 #: Score from which on a pattern vouches for its candidates, and least number of different instances behind it.
@@ -260,7 +260,7 @@ def extract(rows: DataFrame, given: frozenset[str]) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([(t, r, *c) for t, r, x in zip(pdf["tbl"], pdf["row_id"], pdf["text"]) if x for c in candidates(x, known, memo)], columns=cols)
 
-    return rows.select("tbl", "row_id", "text").mapInPandas(run, f"tbl string, row_id long, {CANDIDATE}")
+    return spread(rows.select("tbl", "row_id", "text")).mapInPandas(run, f"tbl string, row_id long, {CANDIDATE}")
 
 
 def score(cands: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 
 #: Times that a word must stand in text that isn't from pages to be a word, and to be proposed as a repair.
 KNOWN, PROPOSED = 1, 4
@@ -215,7 +215,7 @@ def lexicon(texts: DataFrame) -> DataFrame:
         rows = [(w, 0 if p else n, n if p else 0) for (w, p), n in c.items() if is_candidate(w)]
         return pd.DataFrame(rows, columns=["word", "clean_n", "page_n"])
 
-    part = texts.select("text", "is_page").mapInPandas(run, "word string, clean_n long, page_n long")
+    part = spread(texts.select("text", "is_page")).mapInPandas(run, "word string, clean_n long, page_n long")
     return part.groupBy("word").agg(F.sum("clean_n").alias("clean_n"), F.sum("page_n").alias("page_n"))
 
 
@@ -290,7 +290,7 @@ def page_facts(pages: DataFrame, common: frozenset[str]) -> DataFrame:
                     at += len(line) + 1
             yield pd.DataFrame(out, columns=["node_id", "file_id", "what", "word", "left", "right", "at", "stop"]).astype({"file_id": "Int64"})
 
-    return pages.select("node_id", "file_id", "page", "text").mapInPandas(run, "node_id long, file_id long, what string, word string, left string, right string, at int, stop int")
+    return spread(pages.select("node_id", "file_id", "page", "text")).mapInPandas(run, "node_id long, file_id long, what string, word string, left string, right string, at int, stop int")
 
 
 class ScanNoise:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -175,7 +175,7 @@ def measures(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out.insert(0, "_id", pdf["_id"].to_numpy())
             yield out
 
-    out = slim.mapInPandas(run, f"_id {kind}, _l string, {COLUMNS}")
+    out = spread(slim).mapInPandas(run, f"_id {kind}, _l string, {COLUMNS}")
     return out.withColumn("language", F.coalesce("guess", "_l", F.lit("und"))).drop("_l").withColumnRenamed("_id", id_col)
 
 
