@@ -21,6 +21,8 @@ from ..session import materialize, spread
 
 #: Times that a word must stand in text that isn't from pages to be a word, and to be proposed as a repair.
 KNOWN, PROPOSED = 1, 4
+#: A misread form is at least this many times rarer than the word it stands for.
+RARER = 5
 #: Most frequent known words that the page pass carries; all other words go through the join, so the number changes no result.
 COMMON = 50_000
 #: Cost of a confusion and of any other edit, and the cost allowed a letter.
@@ -28,9 +30,11 @@ CONFUSION, EDIT = 0.3, 1.0
 
 # What scanners make of letters (misread form -> letter or letters).
 MULTI = {"rn": "m", "nn": "m", "vv": "w", "cl": "d", "ii": "u", "li": "h", "ri": "n", "i-": "r", "ci": "a", "in": "m", "tl": "h", "fi": "h"}
-CLASSES = ("il1!|j", "eco06", "tf+7", "as@5", "hb8", "nu", "gq9", "vy", "rp")
-FOLD_MULTI = (("vv", "w"), ("rn", "m"), ("nn", "m"), ("i-", "r"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("li", "h"))
-_FOLD = {c: k[0] for k in CLASSES for c in k}
+CLASSES = ("il1!|j", "eco06", "tf+7", "as@5", "hb8", "nu", "gq9", "vy")
+_CLASS = {c: k[0] for k in CLASSES for c in k}
+#: Folding first maps characters, with h and n as one since both may come from two strokes, then the pairs of folded characters that stand for one letter.
+_FOLD = {**_CLASS, **dict.fromkeys("hb8nu", "n")}
+FOLD_PAIRS = (("vv", "w"), ("rn", "m"), ("nn", "m"), ("i-", "r"), ("ri", "n"), ("ii", "n"), ("ei", "d"))
 
 _STRIP = ".,;:?\"“”„‘«»()[]{}<>…—–·*#•"
 _OK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿœŒßẞ0-9!|+@$'’-]+")
@@ -47,10 +51,11 @@ SPACED = re.compile(r"(?:\S\s){3,}\S(?:\s{2,}(?:\S\s)*\S)*(?:\s{2,}\d{1,4})?")
 def fold(word: str) -> str:
     """Skeleton of a word: case, accents and confusions folded. Misread and right form usually share it."""
     w = "".join(c for c in unicodedata.normalize("NFD", word.casefold()) if not unicodedata.combining(c))
-    for a, b in FOLD_MULTI:
+    w = "".join([_FOLD.get(c, c) for c in w])
+    for a, b in FOLD_PAIRS:
         if a in w:
             w = w.replace(a, b)
-    return "".join([_FOLD.get(c, c) for c in w])
+    return w
 
 
 def keys(word: str) -> list[str]:
@@ -76,7 +81,7 @@ def distance(seen: str, word: str, most: float = 9.0) -> float:
             if x == y:
                 d = prev[j - 1]
             else:
-                fx, fy = _FOLD.get(base(x), base(x)), _FOLD.get(base(y), base(y))
+                fx, fy = _CLASS.get(base(x), base(x)), _CLASS.get(base(y), base(y))
                 d = prev[j - 1] + (CONFUSION if fx == fy else EDIT)
             d = min(d, prev[j] + EDIT, cur[j - 1] + EDIT)
             if goal is not None and goal == base(y):
@@ -221,8 +226,8 @@ def lexicon(texts: DataFrame) -> DataFrame:
 
 def corrections(lex: DataFrame) -> DataFrame:
     """(word, fix, cost, n) of words that stand in pages only: their candidates within the allowed distance, at most a confusion dearer than the best."""
-    unknown = lex.where((F.col("clean_n") < KNOWN) & (F.col("page_n") > 0)).select("word")
-    known = lex.where(F.col("clean_n") >= PROPOSED).select(F.col("word").alias("fix"), F.col("clean_n").alias("n"))
+    unknown = lex.where((F.col("clean_n") < KNOWN) & (F.col("page_n") > 0)).select("word", F.col("page_n").alias("own"))
+    known = lex.where(F.col("clean_n") >= PROPOSED).select(F.col("word").alias("fix"), (F.col("clean_n") + F.col("page_n")).alias("n"))
 
     def index(col: str, extra: list[str]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,9 +237,9 @@ def corrections(lex: DataFrame) -> DataFrame:
 
         return run
 
-    left = unknown.mapInPandas(index("word", []), "key string, word string")
+    left = unknown.mapInPandas(index("word", ["own"]), "key string, word string, own long")
     right = known.mapInPandas(index("fix", ["n"]), "key string, fix string, n long")
-    pairs = left.join(right, "key").select("word", "fix", "n").distinct()
+    pairs = left.join(right, "key").where(F.col("n") >= RARER * F.col("own")).select("word", "fix", "n").distinct()
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
