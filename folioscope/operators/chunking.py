@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions import text as X
+from ..session import spread
 
 # Size of a chunk, lines repeated at the start of the next, endings whose headings are Markdown's.
 TARGET, OVERLAP = 1200, 2
@@ -75,7 +76,7 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
             rows = [(p, *c) for p, t in zip(pdf["path"], pdf["text"]) if t for c in line_chunks(t, p or "")]
             yield pd.DataFrame(rows, columns=["path", "ord", "start_line", "end_line", "heading", "text"])
 
-    return docs.select("path", "text").mapInPandas(run, "path string, ord int, start_line int, end_line int, heading string, text string")
+    return spread(docs.select("path", "text")).mapInPandas(run, "path string, ord int, start_line int, end_line int, heading string, text string")
 
 
 def chunk_graph(chunks: DataFrame, parent: str = "parent") -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model as M
+from ..session import spread
 
 # Least length of a text, most entities of a text, patterns, months, currencies, hosts that say nothing.
 MIN_TEXT, MOST = 20, 40
@@ -83,7 +84,7 @@ def mentions(text: Column, limit: int | None = MOST) -> Column:
 
 def mention_rows(rows: DataFrame, id_col: str, text_col: str, limit: int | None = MOST) -> DataFrame:
     """(id, type, value, display), one row a mention; without a limit one row per (id, type, value), with the least display."""
-    m = rows.select(F.col(id_col), F.explode(mentions(F.col(text_col), limit)).alias("m")).select(id_col, "m.type", "m.value", "m.display")
+    m = spread(rows.select(id_col, text_col)).select(F.col(id_col), F.explode(mentions(F.col(text_col), limit)).alias("m")).select(id_col, "m.type", "m.value", "m.display")
     return m if limit is not None else m.groupBy(id_col, "type", "value").agg(F.min("display").alias("display"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import spread
 
 # BM25's parameters, the least idf, and the weights of recall.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -75,6 +76,7 @@ def search_scan(docs: DataFrame, terms: Sequence[str], id_col: str = "uid", text
     With stem, a token's index form comes from an Arrow UDF over the distinct tokens; use search_index() for repeated searches instead.
     """
     wanted = [w for w in (phrase(t, stem) for t in terms) if w]
+    docs = spread(docs)
     base = docs.withColumn("_t", tokens(F.coalesce(F.col(text_col), F.lit("")))) if not stem else _stemmed(docs, id_col, text_col)
     if not wanted:
         return docs.limit(0).withColumn("score", F.lit(0.0))
