@@ -428,7 +428,7 @@ def enrich_claims(spark, sf):
 
 def versioned_run(spark, sf):
     """Chunk rows through a versioned table: two versions in, one deletion, only the differences out; the sink notes the version that it has processed."""
-    at = f"{shared_dir(spark)}/folioscope-versions-{os.urandom(6).hex()}" if not shared_dir(spark).startswith("file:/tmp") else "file://" + tempfile.mkdtemp(prefix="folioscope-v-")
+    at = f"{shared_dir(spark)}/folioscope-versions-{os.urandom(6).hex()}"
     src, dst = changes.VersionedTable(spark, f"{at}/src", "id"), changes.VersionedTable(spark, f"{at}/dst", "id")
     c = table(spark, sf, "chunks").select("id", "file_id", "ord")
     src.commit(c.where("id % 3 <> 0"))
@@ -539,6 +539,10 @@ def oracle_sql() -> dict:
         "indexable_files": f"SELECT {_EXT} AS ext, count(*) AS n FROM files WHERE {_EXT} NOT IN ({', '.join(repr(x) for x in S.BINARY)}) AND size <= 1000000 GROUP BY ALL",
         "digests": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents",
         "identifier_parts": r"WITH w AS (SELECT id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS w FROM chunks), p AS (SELECT id, list_filter(string_split(regexp_replace(regexp_replace(w, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), ' '), lambda x: len(x) > 2) AS p FROM w), q AS (SELECT id, unnest(p) AS x FROM p WHERE len(p) > 1) SELECT DISTINCT id, lower(x) AS part FROM q",
+        "doc_titles": r"SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^\s{0,3}#\s+(.+?)\s*$', 1))[1:200], ''), regexp_extract(path, '[^/]*$')) AS title_line FROM documents WHERE text IS NOT NULL",
+        "document_nodes": r"SELECT 'doc:' || path AS uid, coalesce(title, regexp_extract(path, '[^/]*$')) AS name, sha256(concat_ws(chr(10), title, translate(path, '/_-', '   '), coalesce(text, '')[1:1000])) AS body_hash, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '(\.[^.]+)$', 1)) AS extension FROM documents",
+        "subgraph_edges": f"WITH n AS (SELECT 1000::BIGINT AS id UNION SELECT b FROM ({_BOTH}) WHERE a = 1000) SELECT DISTINCT src_id AS src, dst_id AS dst, kind FROM edges WHERE src_id IN (SELECT id FROM n) AND dst_id IN (SELECT id FROM n)",
+        "vectors_built": "SELECT doc_id AS item, 16 AS dim FROM documents WHERE text IS NOT NULL AND trim(text, ' ') <> ''",
         "next_segments": f"WITH s AS ({seg}), l AS (SELECT lag(uid) OVER (PARTITION BY file ORDER BY a NULLS FIRST, uid) AS src, uid AS dst FROM s) SELECT * FROM l WHERE src IS NOT NULL",
         "frame_segments": f"WITH s AS ({seg}), f AS (SELECT file, max(b) * 0.5 AS at FROM s GROUP BY file) SELECT f.file, 0 AS frame, f.at, (SELECT min(a)::INT FROM s WHERE s.file IS NOT DISTINCT FROM f.file AND s.a <= f.at AND f.at <= s.b) AS ord FROM f",
         "entity_emails": _family_sql(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}\b", "lower(rtrim(d, '.'))"),
