@@ -2,17 +2,20 @@
 
 Each document is measured once: how much of it is sentences, records (table rows, log lines, code) or links; and of the
 rest, how repetitive it is (top-word share, repeated n-grams, duplicate lines, variety of words in a sliding window), how dense in
-separators and how poor in function words. The thresholds are set per language from the measures of all documents of that language.
+separators and how poor in function words. The thresholds are set per language from the measures of all ordinary documents of that
+language; those of the top word and the n-grams also per class of length, because both change with it. Variety, top word, n-grams and
+duplicate lines each decide alone; separators and missing function words, which honest lists have too, only together and with
+n-grams repeated more than usual. "Most of the text" is half of it, for links and tags too.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, spread
@@ -40,6 +43,10 @@ CODE = re.compile(r"^(?:\t| {4})\S|^\s*(?:def|class|func|fn|function|import|from
 WINDOW = 50
 #: Seen shorter than this, a text can't be told apart.
 MIN_WORDS = 12
+#: Least number of ordinary documents that a threshold is taken from.
+ENOUGH = 30
+#: Classes of length: the binary logarithm of the number of words, between these.
+CLASSES = (3, 10)
 
 
 def variety(words: list[str], window: int = WINDOW) -> float:
@@ -62,6 +69,17 @@ def variety(words: list[str], window: int = WINDOW) -> float:
     return total / k / window
 
 
+def top_share(counted: Counter) -> float:
+    """Share of the most frequent word among those that are neither function words nor figures."""
+    content = [k for w, k in counted.items() if w not in _FW_ALL and not w.isdigit()]
+    return max(content, default=0) / max(1, sum(content))
+
+
+def gram_share(words: list[str]) -> float:
+    """Share of word pairs that stood before."""
+    return 1 - len(set(zip(words, words[1:]))) / (len(words) - 1) if len(words) > 1 else 0.0
+
+
 def _is_record(line: str) -> bool:
     """A table row, log line or line of code."""
     if LOG.match(line) or CODE.search(line):
@@ -137,8 +155,8 @@ def measure(text: str | None) -> dict:
     letters = sum(n for w, n in counted.items() if not w.isdigit())
     by_lang = {lang: sum(n for w, n in counted.items() if w in fw) for lang, fw in _FW.items()}
     lang = max(by_lang, key=lambda k: (by_lang[k], k == "en")) if letters else None
-    content = [w for w in words if w not in _FW_ALL]
-    grams = list(zip(words, words[1:]))
+    lines = [x for x in map(str.strip, t.split("\n")) if x]
+    folded = ["0" if w.isdigit() else w for w in all_words]
     return {
         "guess": lang if lang and by_lang[lang] >= max(2, letters // 50) else None,
         "n_words": len(all_words),
@@ -150,16 +168,20 @@ def measure(text: str | None) -> dict:
         "rest_words": len(words),
         "rest_fw": sum(w in _FW_ALL for w in words) / len(words) if words else 0.0,
         "variety": variety(words),
-        "top": Counter(content).most_common(1)[0][1] / len(words) if content else 0.0,
-        "grams": 1 - len(set(grams)) / len(grams) if grams else 0.0,
+        "top": top_share(Counter(words)),
+        "grams": gram_share(words),
         "dup": 1 - len(set(rest)) / len(rest) if rest else 0.0,
         "sep": len(SEP.findall(body)) / max(1, len(words)),
         "tags": len(HASHTAG.findall(body)) / max(1, len(body.split())),
         "prose_variety": variety(all_words),
+        "prose_top": top_share(counted),
+        "prose_grams": gram_share(folded),
+        "prose_dup": 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        "prose_sep": (sum(map(t.count, ",;|/•·#>»")) + max(0, len(lines) - 1)) / max(1, len(all_words)),
     }
 
 
-COLUMNS = "guess string, n_words int, fw double, sentence double, record double, link double, rest double, rest_words int, rest_fw double, variety double, top double, grams double, dup double, sep double, tags double, prose_variety double"
+COLUMNS = "guess string, n_words int, fw double, sentence double, record double, link double, rest double, rest_words int, rest_fw double, variety double, top double, grams double, dup double, sep double, tags double, prose_variety double, prose_top double, prose_grams double, prose_dup double, prose_sep double"
 
 
 def measures(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
@@ -179,18 +201,51 @@ def measures(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumn("language", F.coalesce("guess", "_l", F.lit("und"))).drop("_l").withColumnRenamed("_id", id_col)
 
 
+def length_class(n: str) -> Column:
+    return F.least(F.greatest(F.floor(F.log2(F.greatest(F.col(n), F.lit(1)))), F.lit(CLASSES[0])), F.lit(CLASSES[1])).cast("int")
+
+
+def _over(q: Column, by: float = 0.25) -> Column:
+    """A quarter beyond the share q that ordinary documents reach, or a quarter of the way to 1 where that is less."""
+    return q + F.least(q, 1 - q) * by
+
+
 def thresholds(measured: DataFrame) -> DataFrame:
-    """Per language: the least variety and function-word share that are still ordinary, from the documents that are mostly sentences."""
+    """Per language and class of length: the least variety and function-word share, and the largest shares of top word, pairs, duplicate lines
+    and separators, that are still ordinary, from the documents that are mostly sentences."""
     plain = measured.where((F.col("sentence") > 0.7) & (F.col("n_words") >= 40))
-    q = plain.groupBy("language").agg(F.percentile_approx("prose_variety", 0.5, 1000).alias("v"), F.percentile_approx("fw", 0.5, 1000).alias("f"), F.count(F.lit(1)).alias("n"))
+    q = plain.groupBy("language").agg(
+        F.percentile_approx("prose_variety", 0.5, 1000).alias("v"), F.percentile_approx("fw", 0.5, 1000).alias("f"),
+        F.percentile_approx("prose_dup", 0.99, 1000).alias("d"), F.percentile_approx("prose_sep", 0.99, 1000).alias("s"), F.count(F.lit(1)).alias("n"),
+    )
     # A language with few plain documents gets the figures of all of them.
-    every = plain.agg(F.percentile_approx("prose_variety", 0.5, 1000).alias("v0"), F.percentile_approx("fw", 0.5, 1000).alias("f0"))
-    q = measured.select("language").distinct().join(q, "language", "left").crossJoin(F.broadcast(every))  # one row
-    few = F.coalesce("n", F.lit(0)) < 30
+    every = plain.agg(F.percentile_approx("prose_variety", 0.5, 1000).alias("v0"), F.percentile_approx("fw", 0.5, 1000).alias("f0"), F.percentile_approx("prose_dup", 0.99, 1000).alias("d0"), F.percentile_approx("prose_sep", 0.99, 1000).alias("s0"))
+    # So does a class of length of a language: first those of the class in all languages, then those of all classes.
+    sized = measured.where((F.col("sentence") > 0.7) & (F.col("n_words") >= MIN_WORDS)).withColumn("size_class", length_class("n_words"))
+    shares = lambda i: [F.percentile_approx("prose_top", 0.99, 1000).alias(f"t{i}"), F.percentile_approx("prose_grams", F.array(F.lit(0.9), F.lit(0.99)), 1000).alias(f"g{i}"), F.count(F.lit(1)).alias(f"n{i}")]
+    classes = measured.sparkSession.range(CLASSES[0], CLASSES[1] + 1).select(F.col("id").cast("int").alias("size_class"))
+    q = measured.select("language").distinct().join(q, "language", "left").crossJoin(F.broadcast(every)).crossJoin(F.broadcast(sized.agg(*shares(0)))).crossJoin(F.broadcast(classes))  # one row, one row, eight rows
+    q = q.join(sized.groupBy("language", "size_class").agg(*shares(2)), ["language", "size_class"], "left").join(F.broadcast(sized.groupBy("size_class").agg(*shares(1))), "size_class", "left")  # eight rows
+    few = F.coalesce("n", F.lit(0)) < ENOUGH
+
+    def own(k: str, default: float) -> Column:
+        return F.coalesce(F.when(few, F.col(k + "0")).otherwise(F.col(k)), F.lit(default))
+
+    def sized_own(k: Callable[[int], Column], default: float) -> Column:
+        return F.coalesce(*(F.when(F.col(f"n{i}") >= ENOUGH, k(i)) for i in (2, 1)), k(0), F.lit(default))
+
     return q.select(
         "language",
-        (F.coalesce(F.when(few, F.col("v0")).otherwise(F.col("v")), F.lit(0.72)) * 0.85).alias("min_variety"),
-        (F.coalesce(F.when(few, F.col("f0")).otherwise(F.col("f")), F.lit(0.3)) * 0.5).alias("min_fw"),
+        "size_class",
+        (own("v", 0.72) * 0.85).alias("min_variety"),
+        (own("f", 0.3) * 0.5).alias("min_fw"),
+        # ordinary documents of one line each say nothing of repeated lines
+        F.greatest(_over(own("d", 0.3)), F.lit(0.3)).alias("max_dup"),
+        _over(own("s", 0.24)).alias("max_sep"),
+        # twice: honest lists name one thing more often than sentences do
+        _over(sized_own(lambda i: F.col(f"t{i}"), 0.15), 1.0).alias("max_top"),
+        sized_own(lambda i: F.col(f"g{i}")[0], 0.3).alias("usual_grams"),
+        _over(sized_own(lambda i: F.col(f"g{i}")[1], 0.5)).alias("max_grams"),
     )
 
 
@@ -200,10 +255,10 @@ def spam_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null, empty and very short texts are no spam. Copies get equal results. Measures are written once to the shared folder (a few numbers a document).
     """
     m = materialize(measures(documents, id_col, text_col, lang_col), "spam")
-    m = m.join(F.broadcast(thresholds(m)), "language", "left")  # one row a language
-    stuffed = (F.col("rest") > 0.5) & (F.col("rest_words") >= MIN_WORDS) & (
-        (F.col("variety") < F.col("min_variety")) | (F.col("tags") > 0.5) | ((F.col("sep") > 0.3) & (F.col("rest_fw") < F.col("min_fw")) & (F.col("grams") > 0.15))
-    )
+    m = m.withColumn("size_class", length_class("rest_words")).join(F.broadcast(thresholds(m)), ["language", "size_class"], "left")  # eight rows a language
+    listed = (F.col("sep") > F.col("max_sep")) & (F.col("rest_fw") < F.col("min_fw")) & (F.col("grams") > F.col("usual_grams"))
+    repeated = (F.col("variety") < F.col("min_variety")) | (F.col("top") > F.col("max_top")) | (F.col("grams") > F.col("max_grams")) | (F.col("dup") > F.col("max_dup"))
+    stuffed = (F.col("rest") > 0.5) & (F.col("rest_words") >= MIN_WORDS) & (repeated | (F.col("tags") > 0.5) | listed)
     links = (F.col("link") > 0.5) & (F.col("sentence") < 0.3)
     both = (F.col("link") + F.when(F.col("variety") < F.col("min_variety"), F.col("rest")).otherwise(0.0)) > 0.6
     return m.withColumn("is_spam", (F.col("n_words") >= MIN_WORDS) & (stuffed | links | both))

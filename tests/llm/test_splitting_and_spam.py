@@ -66,3 +66,29 @@ def test_spam_and_look_alikes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in spam.find_spam(df).collect()} == want | {201}
     assert spam.find_spam(df.limit(0)).collect() == []
+
+
+NOUNS = "ferry harbour timetable depot orchard meter archive valve ledger beacon quarry canal tram mill bridge ticket survey cellar garden clock parcel signal tower lamp rota barge annex inlet wharf crane buoy kiln forge loom press drain sluice weir hinge gauge".split()
+WORDS = [a + b for a in "bra cel dor fim gol hul jar kem lop mur".split() for b in "tin vek sol rud nap lim".split()]
+
+
+def test_each_signal_flags_a_page(spark):
+    rnd = random.Random(3)
+
+    def prose(n):
+        return " ".join(f"The {rnd.choice(NOUNS)} was kept in the {rnd.choice(NOUNS)} near a {rnd.choice(NOUNS)}, and the {rnd.choice(NOUNS)} will be moved." for _ in range(n))
+
+    block = "\n".join(" ".join(WORDS[i : i + 6]) for i in range(0, 60, 6))
+    different = [a + b for a in WORDS[:20] for b in ("ex", "um", "or", "iv", "as", "et")]
+    spam_pages = {
+        "grams and dup": "\n".join([block] * 20),
+        "grams": " ".join(WORDS * 20),
+        "dup": "\n".join(w for _ in range(4) for w in rnd.sample(WORDS, 60)),
+        "top": " ".join(f"lampex {a} {b}" for a, b in zip(different[::2], different[1::2])),
+    }
+    honest = {"list": "\n".join(different), "commas": ", ".join(different), "list of pairs": "\n".join(f"{a} {b}" for a, b in zip(different, reversed(different))), "twice": "\n".join(different + different[:12]), "common word": "\n".join(w + " pier" * (i % 8 == 0) for i, w in enumerate(different))}
+    assert all(spam.measure(t)["variety"] > 0.67 and spam.measure(t)["rest"] > 0.5 for t in [*spam_pages.values(), *honest.values()])
+    pages = [*spam_pages.items(), *honest.items()]
+    rows = [(i, t, "en") for i, (_, t) in enumerate(pages)] + [(100 + i, prose(3 + i % 30), "en") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(pages[r["doc_id"]][0] for r in spam.find_spam(df).collect()) == sorted(spam_pages)
