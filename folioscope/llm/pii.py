@@ -6,6 +6,10 @@ numbers and listed given names are seeds. The candidates form a graph of pattern
 (number shapes, given names, surnames). Spark scores it in rounds: a pattern is as good as the seeds and accepted instances among
 its candidates; names in good patterns, and surnames seen with several given names, become instances of their own. A candidate is
 an item if its shape is a seed, its name is known, or its pattern is good enough.
+
+A learned name that no list has may stand alone, or reversed beside an unknown one. The pass also notes each text's capitalised words that are in no
+such candidate yet; texts in which one of them turns out to be a learned name are read once more with the learned names, so what is
+found doesn't depend on the list.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, spread
+from ..session import broadcast_if_small, materialize, spread
 
 ROUNDS = 2
 #: Score from which on a pattern vouches for its candidates, and least number of different instances behind it.
@@ -93,17 +97,25 @@ SEQ = re.compile(rf"(?<![\w@.’'_/&#-])(?:{_INIT}|{_PART}?{_WORD})(?:,? ?(?:{_I
 TOKEN = re.compile(rf"({_INIT})|({_PART}?{_WORD})|(,)")
 
 
-def parse_names(seq: str, given: frozenset[str]) -> list[tuple[int, int, str, str, str]]:
+def _tokens(seq: str) -> list[tuple[int, int, str, str]]:
+    return [(m.start(), m.end(), "i" if m.group(1) else "w" if m.group(2) else ",", m.group()) for m in TOKEN.finditer(seq)]
+
+
+def _is_word(tok: tuple[int, int, str, str]) -> bool:
+    return tok[2] == "w" and tok[3].casefold().rstrip("'’") not in TITLES and tok[3].casefold() not in NOT_NAMES
+
+
+def parse_names(seq: str, given: frozenset[str], surnames: frozenset[str] = frozenset()) -> list[tuple[int, int, str, str, str]]:
     """Names in a run of capitalised words: (start, end, form, given, surname), both case-folded.
 
     Forms: gs given + surname, g given alone, is initials + surname, sg surname + given. Only runs that hold a known given name, an initial, or
-    two words side by side are considered; whether those are names is decided later.
+    two words side by side, or a known surname, a comma and a word are considered; whether those are names is decided later.
     """
-    toks = [(m.start(), m.end(), "i" if m.group(1) else "w" if m.group(2) else ",", m.group()) for m in TOKEN.finditer(seq)]
+    toks = _tokens(seq)
     out, i, n = [], 0, len(toks)
 
     def is_word(k: int) -> bool:
-        return k < n and toks[k][2] == "w" and toks[k][3].casefold().rstrip("'’") not in TITLES and toks[k][3].casefold() not in NOT_NAMES
+        return k < n and _is_word(toks[k])
 
     while i < n:
         a, b, kind, w = toks[i]
@@ -152,7 +164,7 @@ def parse_names(seq: str, given: frozenset[str]) -> list[tuple[int, int, str, st
                 out.append((a, toks[k][1], "sg", h, g))
                 i = k + 1
                 continue
-            if h not in NOT_NAMES and w.isupper() and after != "w":
+            if h not in NOT_NAMES and (w.isupper() or g in surnames) and after != "w":
                 out.append((a, toks[k][1], "sg", h, g))
                 i = k + 1
                 continue
@@ -160,6 +172,31 @@ def parse_names(seq: str, given: frozenset[str]) -> list[tuple[int, int, str, st
     return out
 
 
+def loose_words(seq: str, names: list[tuple[int, int, str, str, str]], given: frozenset[str]) -> list[str]:
+    """Words of the run, case-folded, that would make other names of it if they were known: as given names, or, marked by a comma, as surnames before one."""
+    toks = _tokens(seq)
+    firm: set[int] = set()  # where words start that stay what they are
+    for a, b, form, g, s in names:
+        inside = [t for t in toks if a <= t[0] < b]
+        if form == "gs":
+            firm.add(a)
+            if g in given or len(inside) > 2:
+                firm.add(inside[-1][0])
+        elif form == "is":
+            firm.update(t[0] for t in inside)
+    taken = {t[0] for a, b, *_ in names for t in toks if a <= t[0] < b}
+    out = []
+    for k, t in enumerate(toks):
+        if not _is_word(t) or t[0] in firm:
+            continue
+        w = t[3].casefold()
+        if w not in given:
+            out.append(w)
+        if t[0] not in taken and k + 2 < len(toks) and toks[k + 1][2] == "," and _is_word(toks[k + 2]):
+            out.append(w + ",")
+    return out
+
+
 _LEFT = re.compile(r"([\w’'=-]+|[^\w\s])\s*$")
 _RIGHT = re.compile(r"\s*([\w’'=-]+|[^\w\s])")
 _CLAUSE = re.compile(r"[\n,;|]|\.\s(?=[A-ZÀ-Þ])")
@@ -185,8 +222,14 @@ def shape(s: str) -> str:
     return re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "0", s))
 
 
-def candidates(text: str, given: frozenset[str], memo: dict) -> list[tuple]:
-    """(kind, start, end, seed, form, given, surname, left, right) of one text; spans don't overlap."""
+def candidates(text: str, given: frozenset[str], memo: dict, learned: frozenset[str] = frozenset(), surnames: frozenset[str] = frozenset()) -> list[tuple]:
+    """(kind, start, end, seed, form, given, surname, left, right) of one text; spans don't overlap.
+
+    Listed given names are seeds, learned ones none. Where nothing is learned yet, a last row of kind 'word' holds the text's loose words in place of the form.
+    """
+    first = not (learned or surnames)
+    known = given | learned if learned else given
+    loose: set[str] = set()
     out: list[tuple] = []
     busy: list[tuple[int, int]] = []
     plain = text
@@ -233,32 +276,37 @@ def candidates(text: str, given: frozenset[str], memo: dict) -> list[tuple]:
         seq = m.group()
         got = memo.get(seq)
         if got is None:
-            got = parse_names(seq, given)
+            names = parse_names(seq, known, surnames)
+            got = names, loose_words(seq, names, known) if first else ()
             if len(memo) > 300_000:
                 memo.clear()
             memo[seq] = got
-        for a, b, form, g, s in got:
+        loose.update(got[1])
+        for a, b, form, g, s in got[0]:
             a, b = a + m.start(), b + m.start()
             tail = plain[b : b + 2]
             if tail[:1] in "-’'" and tail[1:2].isalpha():
                 continue
             out.append(("person", a, b, g in given, form, g, s, *context(text, a, b)))
+    if loose:
+        out.append(("word", 0, 0, False, "\x02".join(sorted(loose)), "", "", "", ""))
     return out
 
 
 CANDIDATE = "kind string, start int, stop int, seed boolean, form string, given string, surname string, lw string, rw string"
 
 
-def extract(rows: DataFrame, given: frozenset[str]) -> DataFrame:
+def extract(rows: DataFrame, given: frozenset[str], learned: frozenset[str] = frozenset(), surnames: frozenset[str] = frozenset()) -> DataFrame:
     """Candidates of all rows (tbl, row_id, text). Null and empty texts have none."""
-    names = rows.sparkSession.sparkContext.broadcast(given)  # the given short list of name forms, of fixed size
+    # the given short list of name forms, of fixed size, and the learned names that stand loose somewhere, at most the names of the texts
+    names = rows.sparkSession.sparkContext.broadcast((given, learned, surnames))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
-        known = names.value
+        listed, more, last = names.value
         cols = ["tbl", "row_id"] + [c.split()[0] for c in CANDIDATE.split(", ")]
         for pdf in batches:
-            yield pd.DataFrame([(t, r, *c) for t, r, x in zip(pdf["tbl"], pdf["row_id"], pdf["text"]) if x for c in candidates(x, known, memo)], columns=cols)
+            yield pd.DataFrame([(t, r, *c) for t, r, x in zip(pdf["tbl"], pdf["row_id"], pdf["text"]) if x for c in candidates(x, listed, memo, more, last)], columns=cols)
 
     return spread(rows.select("tbl", "row_id", "text")).mapInPandas(run, f"tbl string, row_id long, {CANDIDATE}")
 
@@ -300,12 +348,29 @@ def score(cands: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame,
     return patterns, surnames, givens
 
 
+def with_learned(rows: DataFrame, given: frozenset[str], cands: DataFrame, words: DataFrame, surnames: DataFrame, givens: DataFrame) -> DataFrame:
+    """The candidates, those of texts with loose learned names found anew."""
+    key = ["tbl", "row_id"]
+    names = givens.select(F.col("given").alias("word")).unionByName(surnames.select(F.concat("surname", F.lit(",")).alias("word")))
+    loose = words.select(*key, F.explode(F.split("form", "\x02")).alias("word"))
+    hits = materialize(loose.join(broadcast_if_small(names), "word"), "pii-loose")
+    learned = [r["word"] for r in hits.select("word").distinct().collect()]  # at most the learned names
+    if not learned:
+        return cands
+    again = broadcast_if_small(hits.select(*key).distinct())
+    texts = materialize(rows.select(*key, "text").join(again, key, "left_semi"), "pii-again")
+    anew = extract(texts, given, frozenset(w for w in learned if not w.endswith(",")), frozenset(w[:-1] for w in learned if w.endswith(",")))
+    return cands.join(again, key, "left_anti").unionByName(anew)
+
+
 def find(rows: DataFrame, name_forms: DataFrame) -> DataFrame:
     """(tbl, row_id, pii_kind, start_at, stop_at) of every item."""
     given = frozenset(x.casefold() for r in name_forms.select("form", "full_form").collect() for x in r if x)  # a fixed list of short forms
-    cands = materialize(extract(rows, given), "pii-candidates")
+    first = materialize(extract(rows, given), "pii-candidates")
+    cands = first.where("kind <> 'word'")
     patterns, surnames, givens = score(cands)
-    p = materialize(patterns, "pii-patterns")
+    p, surnames, givens = materialize(patterns, "pii-patterns"), materialize(surnames, "pii-surnames"), materialize(givens, "pii-givens")
+    cands = with_learned(rows, given, cands, first.where("kind = 'word'"), surnames, givens)
     pick = lambda side, name: p.where(F.col("side") == side).select(F.col("kind").alias("kind"), F.col("word").alias(name), F.col("trust").alias(f"t_{side}"))
     x = cands.withColumn("bw", F.concat_ws("\x02", "lw", "rw"))
     x = x.join(pick("b", "bw"), ["kind", "bw"], "left").join(pick("l", "lw"), ["kind", "lw"], "left").join(pick("r", "rw"), ["kind", "rw"], "left")

@@ -64,3 +64,24 @@ def test_redaction(found):
 def test_empty(spark, found):
     _, df, forms, _ = found
     assert pii.found(df.limit(0), forms).collect() == []
+
+
+def test_learned_names_alone_and_reversed(spark, found):
+    """Quentin and Noémie are in no list but stand beside several surnames; Xerxes stands nowhere else."""
+    _, df, forms, _ = found
+    more = [f"According to {g} {s}, the valve was shut." for g in ("Quentin", "Noémie") for s in SUR]
+    more += [f"The log says name={g}" for g in GIVEN] + [f"Present: {s}, {g}; the rota was kept." for g in GIVEN for s in SUR]
+    ask = ["Ask Quentin about the missing drawer.", "The log says name=Noémie", "Present: Bellwain, Xerxes; the rota was kept.", "Present: Corvash, Quentin; the rota was kept.", "Ask Support about the missing drawer.", "The log says name=Backup", "Quentin Basin and Harbour, Depot share one meter."]
+    texts = more + ask
+    rows = df.unionByName(spark.createDataFrame([("nodes", i, t, 1) for i, t in enumerate(texts)], "tbl string, row_id long, text string, kind int"))
+    got = {}
+    for r in pii.find(rows, forms).where("tbl = 'nodes'").collect():
+        got.setdefault(r["row_id"], []).append(texts[r["row_id"]][r["start_at"] : r["stop_at"]])
+    assert [got.get(len(more) + i, []) for i in range(len(ask))] == [["Quentin"], ["Noémie"], ["Bellwain, Xerxes"], ["Corvash, Quentin"], [], [], []]
+
+
+def test_loose_words():
+    given = frozenset({"bob"})
+    loose = lambda seq: pii.loose_words(seq, pii.parse_names(seq, given), given)
+    assert loose("Quentin") == ["quentin"] and loose("Bob") == [] and loose("Bob Corvash") == [] and loose("Quentin Corvash") == ["corvash"]
+    assert loose("Corvash, Xerxes") == ["corvash", "corvash,", "xerxes"] and loose("Y. Corvash, Noémie") == ["noémie"]
