@@ -82,8 +82,8 @@ def identifier_parts(spark, sf):
 
 
 def html_text(spark, sf):
-    d = _docs(spark, sf).where(F.col("text").rlike("(?i)<a\\s"))
-    return d.select("doc_id", F.length(documents.html_text(F.col("text"))).alias("chars"))
+    d = _docs(spark, sf).select("doc_id", documents.html_text(F.col("text")).alias("t"))
+    return d.select("doc_id", F.length("t").alias("chars"), F.sha2("t", 256).alias("digest"))
 
 
 def doc_titles(spark, sf):

@@ -94,3 +94,16 @@ def test_html_titles_links(spark):
     r = df.select(documents.html_text(F.col("raw")).alias("t"), documents.title(F.col("raw"), F.col("path"), F.lit(True)).alias("h")).first()
     assert r["h"] == "A & B" and "Hi" in r["t"] and "var x" not in r["t"]
     assert {(x["src"], x["dst"]) for x in documents.link_edges(df).collect()} == {("doc:a/b/p.html", "doc:a/c/d.md"), ("doc:a/b/p.html", "doc:a/b/e.md")}
+
+
+def test_html_text_query_reads_every_document(spark, tmp_path):
+    from hashlib import sha256
+
+    from folioscope.plans import queries
+
+    rows = [(1, "<p>Tide &amp; clock</p><script>x()</script>"), (2, "Tide <a href='#'>clock</a>"), (3, None), (4, "")]
+    cols = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").drop("doc_id", "text").limit(1)
+    spark.createDataFrame(rows, "doc_id long, text string").crossJoin(cols).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["chars"], r["digest"]) for r in queries.html_text(spark, str(tmp_path)).collect()}
+    digest = lambda t: (len(t), sha256(t.encode()).hexdigest())
+    assert got == {1: digest("Tide & clock"), 2: digest("Tide  clock"), 3: digest(""), 4: digest("")}
