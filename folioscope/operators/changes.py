@@ -3,18 +3,21 @@
 A table version is described by a manifest: the set of entries it holds, each with a key and a fingerprint. Two manifests
 are diffed into added, removed and changed entries; only those are processed. VersionedTable keeps its manifests as
 immutable JSON files beside immutable Parquet files and deletion vectors; a consumer stores the version it has processed
-in the same commit as its output, so a crash before the commit leaves neither, and one after it leaves both.
+in the same commit as its output, so a crash before the commit leaves neither, and one after it leaves both. process_runs()
+does that for index runs: one commit a run, holding the new states, the deletion vector of the old ones and the run's number.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, materialize
+from ..storage import Folder, Versions
+
 
 # ---------------------------------------------------------------- manifests as DataFrames
 
@@ -54,19 +57,17 @@ def run_manifests(files: DataFrame, runs: DataFrame, scans: DataFrame) -> DataFr
 
     A files row counts only if indexed_at lies within an ok run; the latest indexed_at (then the highest id) holds for a path.
     In a run, the row of a path with the latest seen_at (then the highest scan_id) holds. Failed and killed runs write no version.
-    runs is the run log, a few rows a day, and joins by interval: it is broadcast only below the session's own size limit.
+    runs is the run log, a few rows a day, and joins by day and interval: it is broadcast only below a checked size.
     """
     state = F.struct("digest", "mtime", "size").alias("state")
     ok = runs.where(F.col("status") == "ok")
     spans = ok.where(F.col("finished_at").isNotNull()).select("started_at", "finished_at")
     base = files.select("path", "mtime", "size", "digest", "indexed_at", F.col("id").alias("scan_id"))
-    # Runs don't overlap, so a row lies in one of them at most: the last that began before it decides (an as-of lookup in a sorted array of bounded length).
-    log = spans.agg(F.sort_array(F.collect_list(F.struct("started_at", "finished_at"))).alias("_log"))
-    base = (
-        base.join(F.broadcast(log))  # one row
-        .where(F.exists("_log", lambda r: (F.col("indexed_at") >= r["started_at"]) & (F.col("indexed_at") <= r["finished_at"])))
-        .drop("_log")
-    )
+    # By day first, so that a row meets only the runs of its day; a run's days are as many as it lasts.
+    days = spans.where("finished_at >= started_at").withColumn("_day", F.explode(F.sequence(F.to_date("started_at"), F.to_date("finished_at"))))
+    base = base.withColumn("_day", F.to_date("indexed_at")).alias("f")
+    within = (F.col("f._day") == F.col("r._day")) & (F.col("f.indexed_at") >= F.col("r.started_at")) & (F.col("f.indexed_at") <= F.col("r.finished_at"))
+    base = base.join(broadcast_if_small(days).alias("r"), within, "left_semi").drop("_day")
     base = latest_per(base, ["path"], ["indexed_at", "scan_id"]).select(F.lit(0).alias("version"), "path", F.lit(None).cast("long").alias("scan_id"), state)
     seen = scans.join(ok.select("run_id"), "run_id", "left_semi").select("run_id", "path", "mtime", "size", "digest", "seen_at", "scan_id")
     seen = latest_per(seen, ["run_id", "path"], ["seen_at", "scan_id"]).select(F.col("run_id").alias("version"), "path", "scan_id", state)
@@ -99,79 +100,80 @@ def classify_listing(listing: DataFrame, known: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- a versioned table on any Hadoop file system
 
 
+class Conflict(RuntimeError):
+    """Another writer committed something that this commit was not made for."""
+
+
+def live_rows(spark: SparkSession, root: str, key: str, files: Sequence[str], dvs: Sequence[str]) -> DataFrame:
+    """Rows of files (data/<32 hex digits>, below root) without those of the deletion vectors, with _file: one scan and at most one join, however many there are."""
+    df = spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{f}" for f in files])
+    df = df.withColumn("_file", F.regexp_extract(F.col("_metadata.file_path"), "(data/[0-9a-f]{32})/", 1))
+    if not dvs:
+        return df
+    gone = spark.read.parquet(*[f"{root}/{d}" for d in dvs]).select(F.col(key).alias("_k"), F.col("_file").alias("_f"))
+    return df.join(gone, df[key].eqNullSafe(gone["_k"]) & (df["_file"] == gone["_f"]), "left_anti")
+
+
 class VersionedTable:
     """Immutable Parquet files plus one manifest a version; deletes are deletion vectors, not rewrites.
 
     root/data/*            Parquet directories, never changed
-    root/dv/*              deletion vectors: (file, key) of deleted rows, never changed
-    root/versions/N.json   {"version", "files": [...], "dvs": [...], "info": {...}}; created once, by rename
-    A version number can be taken by one writer only: the rename fails for the second, who retries on the new head.
+    root/dv/*              deletion vectors: (key, file) of deleted rows, never changed
+    root/versions/N.json   {"version", "files": [...], "dvs": [...], "info": {...}}, made once (see storage.Folder.create)
+    What a version notes under info is carried on to the next ones, key by key.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/versions"))
+        self._versions = Versions(Folder(spark, self.root), "versions")
 
     # -- manifests
     def version(self) -> int:
         """The newest version; 0 if there is none."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/versions"))]
-        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+        return self._versions.head()
 
     def manifest(self, version: int) -> dict:
-        if version == 0:
-            return {"version": 0, "files": [], "dvs": [], "info": {}}
-        stream = self._fs.open(self._path(f"{self.root}/versions/{version}.json"))
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _commit(self, version: int, files: list[str], dvs: list[str], info: dict) -> bool:
-        draft = self._path(f"{self.root}/versions/.{uuid.uuid4().hex}")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"version": version, "files": files, "dvs": dvs, "info": info}).encode()))
-        out.close()
-        final = self._path(f"{self.root}/versions/{version}.json")
-        if self._fs.exists(final):  # someone else's; a local rename would overwrite it
-            self._fs.delete(draft, False)
-            return False
-        return bool(self._fs.rename(draft, final))
+        return self._versions.read(version) if version else {"version": 0, "files": [], "dvs": [], "info": {}}
 
     # -- writing
-    def commit(self, added: DataFrame | None = None, deleted_keys: DataFrame | None = None, info: dict | None = None) -> int:
-        """Write added rows and a deletion vector of deleted_keys (rows already in the table), then publish them as one version."""
-        head = self.manifest(self.version())
-        files, dvs = list(head["files"]), list(head["dvs"])
-        if deleted_keys is not None and files:
-            name = f"dv/{uuid.uuid4().hex}"
-            now = self._raw(files, dvs).select(self.key, "_file")
-            now.join(deleted_keys.select(self.key).distinct(), self.key, "left_semi").write.parquet(f"{self.root}/{name}")
-            dvs.append(name)
+    def commit(self, added: DataFrame | None = None, deleted_keys: DataFrame | None = None, info: dict | None = None, expected: int | None = None, vectors: DataFrame | None = None) -> int:
+        """Write added rows and a deletion vector, then publish them as one version; gives its number.
+
+        deleted_keys: keys whose rows, of those in the table before this commit, are deleted; vectors: the same as (key, _file), already located. expected: the version that the
+        rows were made from; if another one is in force by the time of publishing, nothing is published and Conflict is raised. Without expected, a commit that only adds rows
+        goes on top of whatever is in force.
+        """
+        head = self.manifest(self.version() if expected is None else expected)
+        files, dvs = [], []
+        if deleted_keys is not None and head["files"]:
+            now = self._raw(head["files"], head["dvs"]).select(self.key, "_file")
+            vectors = now.join(deleted_keys.select(self.key).distinct(), self.key, "left_semi")
+        if vectors is not None:
+            dvs.append(f"dv/{uuid.uuid4().hex}")
+            vectors.select(self.key, "_file").write.parquet(f"{self.root}/{dvs[0]}")
         if added is not None:
-            name = f"data/{uuid.uuid4().hex}"
-            added.write.parquet(f"{self.root}/{name}")
-            files.append(name)
-        if not self._commit(head["version"] + 1, files, dvs, info or {}):
-            raise RuntimeError(f"version {head['version'] + 1} was taken by another writer; retry on the new head")
-        return head["version"] + 1
+            files.append(f"data/{uuid.uuid4().hex}")
+            added.write.parquet(f"{self.root}/{files[0]}")
+        while True:
+            n = head["version"] + 1
+            entry = {"version": n, "files": head["files"] + files, "dvs": head["dvs"] + dvs, "info": {**head["info"], **(info or {})}}
+            if self.version() < n and self._versions.take(n, entry):
+                return n
+            if expected is not None or dvs:
+                raise Conflict(f"version {n} was taken by another writer; start again from the new head")
+            head = self.manifest(self.version())
 
     # -- reading
     def _raw(self, files: list[str], dvs: list[str]) -> DataFrame:
-        df = None
-        for name in files:
-            part = self.spark.read.parquet(f"{self.root}/{name}").withColumn("_file", F.lit(name))
-            df = part if df is None else df.unionByName(part, allowMissingColumns=True)
-        for name in dvs:
-            df = df.join(self.spark.read.parquet(f"{self.root}/{name}"), [self.key, "_file"], "left_anti")
-        return df
+        return live_rows(self.spark, self.root, self.key, files, dvs)
 
-    def read(self, version: int | None = None) -> DataFrame | None:
+    def read(self, version: int | None = None, files: bool = False) -> DataFrame | None:
+        """The rows of a version; with files, also _file, which a deletion vector names."""
         m = self.manifest(self.version() if version is None else version)
-        return self._raw(m["files"], m["dvs"]).drop("_file") if m["files"] else None
+        if not m["files"]:
+            return None
+        df = self._raw(m["files"], m["dvs"])
+        return df if files else df.drop("_file")
 
     def delta(self, since: int, until: int | None = None) -> DataFrame | None:
         """Rows inserted or deleted between two versions, with _change; reads only files and vectors that one manifest has and the other has not."""
@@ -181,16 +183,13 @@ class VersionedTable:
         new_dvs = [d for d in b["dvs"] if d not in set(a["dvs"])]
         parts = []
         if new_files:
-            parts.append(self._raw(new_files, b["dvs"]).withColumn("_change", F.lit("insert")))
+            parts.append(self._raw(new_files, new_dvs).withColumn("_change", F.lit("insert")))
         if gone_files:
             parts.append(self._raw(gone_files, a["dvs"]).withColumn("_change", F.lit("delete")))
         kept = [f for f in a["files"] if f in set(b["files"])]
         if new_dvs and kept:
-            dv = None
-            for d in new_dvs:
-                x = self.spark.read.parquet(f"{self.root}/{d}")
-                dv = x if dv is None else dv.unionByName(x)
-            parts.append(self._raw(kept, a["dvs"]).join(dv.distinct(), [self.key, "_file"], "left_semi").withColumn("_change", F.lit("delete")))
+            dv = self.spark.read.parquet(*[f"{self.root}/{d}" for d in new_dvs]).distinct()
+            parts.append(self._raw(kept, a["dvs"]).join(dv, [self.key, "_file"], "left_semi").withColumn("_change", F.lit("delete")))
         if not parts:
             return None
         out = parts[0]
@@ -200,15 +199,80 @@ class VersionedTable:
 
 
 def process_changes(source: VersionedTable, sink: VersionedTable, fn: Callable[[DataFrame], DataFrame]) -> int | None:
-    """Run fn over what changed in source since the version noted in sink's newest commit, and commit output and version together.
+    """Run fn over what changed in source since the version noted in the sink, and commit output and version together.
 
-    Returns the source version now processed, or None if there was nothing to do. After a crash at any point the next call
-    starts from the same noted version: output that was written but not committed is in no manifest and is never read.
+    Returns the source version now processed, or None if there was nothing to do. After a crash at any point the next call starts from the same noted version: output that
+    was written but not committed is in no manifest and is never read. Of two consumers at once one commits; the other raises Conflict and finds nothing left when it
+    starts again. Other commits to the sink leave the note as it is.
     """
-    done = sink.manifest(sink.version())["info"].get("processed", 0)
-    head = source.version()
+    at = sink.version()
+    noted = sink.manifest(at)["info"].get("processed", {})
+    done, head = noted.get(source.root, 0), source.version()
     if head == done:
         return None
     delta = source.delta(done, head)
-    sink.commit(None if delta is None else fn(delta), info={"processed": head})
+    sink.commit(None if delta is None else fn(delta), info={"processed": {**noted, source.root: head}}, expected=at)
     return head
+
+
+# ---------------------------------------------------------------- runs as versions of a table of states
+
+STATES = "path string, digest string, mtime timestamp, size long, scan_id long, version int, change string"
+
+
+def store_manifests(entries: DataFrame, root: str) -> list[int]:
+    """Write the manifest of every version below root, one folder each, in one pass over entries; gives the versions in order. There is one version a run, so few."""
+    entries.select("version", "path", "scan_id", "state").write.partitionBy("version").parquet(root)
+    return sorted(int(n.split("=")[1]) for n in Folder(entries.sparkSession, root).names("") if n.startswith("version="))
+
+
+def process_runs(states: VersionedTable, manifests: str, versions: Sequence[int]) -> None:
+    """Bring the table of states up to date, one commit a run, from the first run after the one noted in the newest commit.
+
+    Of a run only its own manifest and the states in force are read. A path with another fingerprint than its state gets a new row (change 'added', 'changed', or null where
+    the states don't count as different), and its former row goes into the deletion vector of the same commit, which also notes the run. A crash leaves the last commit in
+    force, and the next call goes on from there; a run without rows commits its note only.
+    """
+    spark = states.spark
+    for v in versions:
+        at = states.version()
+        if states.manifest(at)["info"].get("run", -1) >= v:
+            continue
+        now = spark.read.parquet(f"{manifests}/version={v}").select("path", "scan_id", "state")
+        was = states.read(at, files=True)
+        if was is None:
+            new = now.select("path", "state.*", "scan_id", F.lit(v).alias("version"), F.lit("added").alias("change"))
+            states.commit(new, info={"run": v}, expected=at)
+            continue
+        was = was.select(F.col("path").alias("_path"), F.struct("digest", "mtime", "size").alias("_before"), "_file")
+        step = now.join(was, F.col("path").eqNullSafe(F.col("_path")), "left").where(F.col("_file").isNull() | ~F.col("state").eqNullSafe(F.col("_before")))
+        change = F.when(F.col("_file").isNull(), "added").when(state_differs("_before", "state"), "changed")
+        step = materialize(step.select("path", "state.*", "scan_id", F.lit(v).alias("version"), change.alias("change"), "_file"), "step")
+        states.commit(step.drop("_file"), info={"run": v}, expected=at, vectors=step.where("_file is not null").select("path", "_file"))
+
+
+def run_deltas(states: VersionedTable) -> DataFrame | None:
+    """(version, path, scan_id, change) of all committed runs: the rows that each commit inserted as new or changed, from the files of the commits alone."""
+    files = states.manifest(states.version())["files"]
+    if not files:
+        return None
+    return states.spark.read.parquet(*[f"{states.root}/{f}" for f in files]).where("change is not null").select("version", "path", "scan_id", "change")
+
+
+def changed_by_commits(files: DataFrame, runs: DataFrame, scans: DataFrame, root: str) -> DataFrame:
+    """changed_scans() through stored manifests: every ok run is one commit to a table of states below root, and the rows are those that the commits inserted.
+
+    Called again with the same root it processes only runs that came since. A manifest is written once; of a later call only runs without one are written.
+    """
+    spark = files.sparkSession
+    states = VersionedTable(spark, f"{root}/states", "path")
+    entries = run_manifests(files, runs, scans)
+    folder = Folder(spark, root)
+    noted = states.manifest(states.version())["info"].get("run", -1)
+    if noted >= 0:
+        entries = entries.where(F.col("version") > noted)
+    batch = f"manifests/{uuid.uuid4().hex}"
+    process_runs(states, f"{root}/{batch}", store_manifests(entries, f"{root}/{batch}"))
+    folder.remove(batch)  # the states and deletion vectors hold what later runs need
+    out = run_deltas(states)
+    return (out if out is not None else changed_scans(files, runs, scans).limit(0)).where(F.col("version") > 0)

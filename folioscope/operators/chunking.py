@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,51 +23,46 @@ HEADING = re.compile(r"\s{0,3}#{1,6}\s+(.*\S)")
 SYMBOL = re.compile(r"[ \t]{0,4}(?:export\s+)?(?:default\s+)?(?:(?:public|private|protected)\s+)?(?:async\s+)?(?:static\s+)?(def|class|func|function|fn|type|struct|interface|impl|trait|enum|module)\s+([A-Za-z_$][\w$]*)")
 
 
-class _Open:
-    """The chunk being filled."""
-
-    def __init__(self, first: int, lines: list[str], heading: str | None):
-        self.first, self.lines, self.heading = first, lines, heading
-        self.size = sum(map(len, lines)) + len(lines)
+def _sections(lines: list[str], prose: bool) -> list[str | None]:
+    """For each line, the heading that it stands under (its own, if it is one)."""
+    label: str | None = None
+    out = []
+    for m in map((HEADING if prose else SYMBOL).match, lines):
+        if m:
+            label = m.group(1).strip() if prose else " ".join(m.groups())
+        out.append(label)
+    return out
 
 
 def line_chunks(text: str | None, path: str) -> list[tuple[int, int, int, str | None, str]]:
-    """(ord, start_line, end_line, heading, text): lines gathered up to TARGET characters, the last OVERLAP lines of a full chunk repeated in the next.
+    """(ord, start_line, end_line, heading, text): spans of lines of up to TARGET characters and the line that exceeds them; after a full span the next begins OVERLAP lines back.
+
+    A span that has reached a third of the target ends before a line under another heading; one that hasn't goes on under the new heading. Lines count from 1. Blank texts have no chunks.
 
-    A new heading ends a chunk that has reached a third of the target, and relabels a shorter one. Lines count from 1. Blank texts have no chunks.
+    Found from the running lengths: where a span that begins at a line is full is a binary search, and so is from where on a change of heading cuts it.
     """
     lines = (text or "").splitlines()
-    prose = path.lower().endswith(PROSE)
-    done: list[tuple[int, int, str | None, str]] = []
-    open_: _Open | None = None
-    section: str | None = None
-
-    def emit(last: int) -> None:
-        body = "\n".join(open_.lines).strip()
-        if body:
-            done.append((open_.first, last, open_.heading, body))
-
-    for number, line in enumerate(lines, 1):
-        m = HEADING.match(line) if prose else SYMBOL.match(line)
-        here = section if m is None else m.group(1).strip() if prose else f"{m.group(1)} {m.group(2)}"
-        if here != section and open_ is not None:
-            if open_.size * 3 >= TARGET:
-                emit(number - 1)
-                open_ = None
-            else:
-                open_.heading = here
-        section = here
-        if open_ is None:
-            open_ = _Open(number, [], section)
-        open_.lines.append(line)
-        open_.size += len(line) + 1
-        if open_.size >= TARGET:
-            emit(number)
-            repeat = lines[max(0, number - OVERLAP) : number] if number < len(lines) else []
-            open_ = _Open(number - len(repeat) + 1, repeat, section) if repeat else None
-    if open_ is not None:
-        emit(len(lines))
-    return [(i, *c) for i, c in enumerate(done)]
+    under = _sections(lines, path.lower().endswith(PROSE))
+    upto = [0, *accumulate(len(line) + 1 for line in lines)]  # characters of the first n lines, line ends counted
+    turns = [i for i in range(1, len(lines)) if under[i] != under[i - 1]]
+    found: list[tuple[int, int, str | None]] = []
+    first = fresh = 0  # the span's first line, and the first one that isn't repeated from the span before
+    while fresh < len(lines):
+        full = max(bisect_left(upto, upto[first] + TARGET), fresh + 1)  # lines up to here reach the target
+        ripe = bisect_left(upto, upto[first] + -(-TARGET // 3))  # and up to here a third of it
+        k = bisect_left(turns, max(ripe, fresh, first + 1))
+        if k < len(turns) and turns[k] < min(full, len(lines)):
+            cut = turns[k]
+            found.append((first, cut, under[cut - 1]))
+            first = fresh = cut
+        elif full <= len(lines):
+            found.append((first, full, under[full - 1]))
+            first, fresh = max(0, full - OVERLAP), full
+        else:
+            found.append((first, len(lines), under[-1]))
+            break
+    kept = [(a + 1, b, label, "\n".join(lines[a:b]).strip()) for a, b, label in found]
+    return [(i, *c) for i, c in enumerate(c for c in kept if c[3])]
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
@@ -80,12 +77,14 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
 
 
 def chunk_graph(chunks: DataFrame, parent: str = "parent") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of chunks (parent uid, path, ord, start_line, end_line, heading, text): one chunk node each, CONTAINS from the parent, NEXT along ord within a parent."""
+    """Nodes and edges of chunks (parent uid, path, ord, start_line, end_line, heading, text): one chunk node each, CONTAINS from the parent, NEXT along ord within a parent. extra, if there, is a map of further props."""
     c = chunks.withColumn("uid", M.child_uid(F.col(parent), "chunk", F.col("ord")))
     base = F.concat(F.element_at(F.split("path", "/"), -1), F.lit(":"), F.col("start_line"), F.lit("-"), F.col("end_line"))
     props = F.map_filter(
         F.create_map(*[x for k in ("path", "start_line", "end_line", "ord", "heading") for x in (F.lit(k), F.col(k).cast("string"))]), lambda k, v: v.isNotNull()
     )
+    if "extra" in chunks.columns:
+        props = F.map_concat(F.map_filter("extra", lambda k, _: ~k.isin("path", "start_line", "end_line", "ord", "heading")), props)
     nodes = c.select("uid", F.lit("chunk").alias("kind"), F.concat_ws(" — ", base, "heading").alias("name"), F.col("text").alias("body"), props.alias("props"), F.col("path").alias("owner"), F.col("ord").cast("long").alias("seq"))
     before = F.lag("uid").over(Window.partitionBy(parent).orderBy("ord"))
     linked = c.withColumn("before", before)
@@ -108,25 +107,33 @@ def chunk_index(docs: DataFrame) -> DataFrame:
     return c.withColumn("search_body", X.search_body(F.col("text"), F.col("heading"), F.col("path")))
 
 
+def fold_windows(heard, span: float = 45.0, chars: int = 900) -> Iterator[tuple[float, float, str]]:
+    """(start, end, text) of (start, end, text) in order of time, merged until the span or the number of characters is reached. Blank texts are left out."""
+    texts: list[str] = []
+    begun = ended = 0.0
+    for a, b, text in heard:
+        text = (text or "").strip()
+        if not text:
+            continue
+        begun, ended = (begun if texts else a), b
+        texts.append(text)
+        if ended - begun >= span or sum(map(len, texts)) >= chars:
+            yield begun, ended, " ".join(texts)
+            texts = []
+    if texts:
+        yield begun, ended, " ".join(texts)
+
+
 def windows(segments: DataFrame, span: float = 45.0, chars: int = 900) -> DataFrame:
-    """Transcript windows: segments (file, start_time, end_time, text) in order of time merged until the span or the number of characters is reached.
+    """Transcript windows of segments (file, start_time, end_time, text), by fold_windows(): (file, ord, start_time, end_time, text).
 
-    Columns: file, ord, start_time, end_time, text. A window depends on where the last one ended, so a file is folded in order; files are independent.
+    A window depends on where the last one ended, so a file is folded in order; files are independent.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, group = [], []
-        for r in pdf.sort_values(["start_time", "end_time"]).itertuples(index=False):
-            t = (r.text or "").strip()
-            if not t:
-                continue
-            group.append((r.start_time, r.end_time, t))
-            if r.end_time - group[0][0] >= span or sum(len(g[2]) for g in group) >= chars:
-                out.append(group)
-                group = []
-        if group:
-            out.append(group)
-        return pd.DataFrame([(key[0], i, g[0][0], g[-1][1], " ".join(x[2] for x in g)) for i, g in enumerate(out)], columns=["file", "ord", "start_time", "end_time", "text"])
+        rows = pdf.sort_values(["start_time", "end_time"])
+        out = fold_windows(zip(rows["start_time"], rows["end_time"], rows["text"]), span, chars)
+        return pd.DataFrame([(key[0], i, a, b, t) for i, (a, b, t) in enumerate(out)], columns=["file", "ord", "start_time", "end_time", "text"])
 
     kind = segments.schema["file"].dataType.simpleString()
     return segments.select("file", "start_time", "end_time", "text").groupBy("file").applyInPandas(run, f"file {kind}, ord int, start_time double, end_time double, text string")

@@ -64,13 +64,26 @@ def folder_graph(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+# Fixed value: metadata that a document is found by.
+FOUND_BY = ("author", "subject", "keywords", "artist", "album", "camera_model")
+
+
 def document_nodes(docs: DataFrame) -> DataFrame:
-    """Nodes of documents (path, title, text, modality, size, digest, warnings, seq): searchable by title, path words and the first 1,000 characters."""
-    body = F.concat_ws("\n", "title", X.path_words(F.col("path")), F.substring(F.coalesce("text", F.lit("")), 1, 1000))
+    """Nodes of documents (path, title, text, modality, size, digest, warnings, seq): searchable by title, path words, FOUND_BY and the first 1,000 characters.
+
+    Optional columns become props: fmt (the format that the bytes show), unreadable, mislabelled, extra (a map: what the reader found out); extra wins over none of the others.
+    """
+    have = lambda c, kind="string": F.col(c) if c in docs.columns else F.lit(None).cast(kind)
+    extra = F.coalesce(have("extra", "map<string,string>"), F.create_map().cast(M.PROPS))
+    body = F.concat_ws("\n", "title", X.path_words(F.col("path")), *[extra[k] for k in FOUND_BY], F.substring(F.coalesce("text", F.lit("")), 1, 1000))
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, "(\\.[^.]+)$", 1))
     warn = F.when(F.size("warnings") > 0, F.to_json("warnings"))
-    props = F.map_filter(F.create_map(*[x for k, v in (("path", F.col("path")), ("extension", ext), ("modality", F.col("modality")), ("size", F.col("size").cast("string")), ("digest", F.col("digest")), ("warnings", warn)) for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    own = {
+        "path": F.col("path"), "name": name, "extension": ext, "modality": F.col("modality"), "size": F.col("size").cast("string"), "digest": F.col("digest"), "detected_format": have("fmt"),
+        "unreadable": have("unreadable"), "mislabelled": have("mislabelled"), "warnings": warn,
+    }
+    props = F.map_filter(F.map_concat(F.map_filter(extra, lambda k, _: ~k.isin(list(own))), F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)])), lambda _, v: v.isNotNull())
     return docs.select(M.document_uid(F.col("path")).alias("uid"), F.lit("document").alias("kind"), F.coalesce("title", name).alias("name"), body.alias("body"), props.alias("props"), F.col("path").alias("owner"), "seq")
 
 
@@ -80,6 +93,10 @@ def next_edges(parts: DataFrame, parent: str, uid: str, order: str) -> DataFrame
     return parts.withColumn("_b", F.lag(uid).over(w)).where("_b is not null").select(F.col("_b").alias("src"), F.col(uid).alias("dst"))
 
 
-def media_caption(kind: Column, name: Column, details: list[Column]) -> Column:
-    """A sentence that a file without text is found by."""
-    return F.concat_ws(" · ", kind, name, *details)
+def caption(path: Column, reader: Column, props: Column) -> Column:
+    """A sentence that an image, sound or video without text is found by: path words, what it is, its size or length, and what its metadata says."""
+    wide = F.when(props["width"].isNotNull(), F.concat(props["width"], F.lit("x"), props["height"], F.lit(" pixels")))
+    what = F.when(reader == "image", F.when(props["format"].isNotNull(), F.concat(props["format"], F.lit(" image")))).otherwise(F.concat(reader, F.lit(" file")))
+    length = F.when(props["duration"].cast("double") > 0, F.concat(F.lit("duration "), X.timestamp_label(props["duration"].cast("double"))))
+    place = F.when(props["lat"].isNotNull(), F.concat(F.lit("located at "), props["lat"], F.lit(", "), props["lon"]))
+    return F.concat_ws(" · ", X.path_words(path), what, wide, length, *[props[k] for k in ("title", "artist", "album", "make", "camera_model", "taken")], place)

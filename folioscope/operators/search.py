@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -16,6 +16,7 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FACT, CHUNK, PROJECT, GLOBAL, PINNED, SEMANTIC = 1.30, 1.0, 1.0, 0.82, 10.0, 0.75
 FLOOR = 0.35
 
+TOKEN = "[\\p{L}\\p{N}]+"
 _WORDS = re.compile(r"[A-Za-z0-9_]+")
 _QUOTED = re.compile(r'"([^"]+)"')
 _TERM = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_./-]*")
@@ -24,7 +25,7 @@ _TOKEN = re.compile(r"[^\W_]+")
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits; every other character separates."""
-    return F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
 def parse_query(query: str) -> list[str]:
@@ -38,12 +39,6 @@ def parse_recall(query: str) -> list[str]:
     return out + [w for w in (w.strip("./-") for w in _TERM.findall(_QUOTED.sub(" ", query))) if len(w) >= 2]
 
 
-def bare_terms(query: str) -> list[str]:
-    """Lower-case phrases and words, for highlighting."""
-    out = [p.lower() for p in _QUOTED.findall(query)] + [w.lower().strip("./-") for w in _TERM.findall(_QUOTED.sub(" ", query))]
-    return [t for t in out if len(t) >= 2]
-
-
 def phrase(term: str, stem: bool = True) -> list[str]:
     """The tokens that a quoted term stands for."""
     words = _TOKEN.findall(X.plain_letters(term).lower() if stem else term.lower())
@@ -76,14 +71,22 @@ def search_scan(docs: DataFrame, terms: Sequence[str], id_col: str = "uid", text
     With stem, a token's index form comes from an Arrow UDF over the distinct tokens; use search_index() for repeated searches instead.
     """
     wanted = [w for w in (phrase(t, stem) for t in terms) if w]
-    docs = spread(docs)
-    base = docs.withColumn("_t", tokens(F.coalesce(F.col(text_col), F.lit("")))) if not stem else _stemmed(docs, id_col, text_col)
     if not wanted:
         return docs.limit(0).withColumn("score", F.lit(0.0))
-    base = base.withColumn("_dl", F.size("_t").cast("double"))
-    for i, w in enumerate(wanted):
-        base = base.withColumn(f"_f{i}", _hits(F.col("_t"), w))
-    base = base.drop("_t")
+    docs = spread(docs)
+    if stem:
+        base = _stemmed(docs, id_col, text_col).withColumn("_dl", F.size("_t").cast("double"))
+        for i, w in enumerate(wanted):
+            base = base.withColumn(f"_f{i}", _hits(F.col("_t"), w))
+        base = base.drop("_t")
+    else:  # tokens are made of texts that hold a phrase's letters at all; the others are only counted
+        low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+        base = docs.withColumn("_dl", F.regexp_count(low, F.lit(TOKEN)).cast("double"))
+        for i, w in enumerate(wanted):
+            may = low.contains(w[0])
+            for x in w[1:]:
+                may = may & low.contains(x)
+            base = base.withColumn(f"_f{i}", F.when(may, _hits(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)), w)).otherwise(0))
     tot = base.agg(F.count(F.lit(1)).cast("double").alias("_N"), F.avg("_dl").alias("_mean"), *[F.sum((F.col(f"_f{i}") > 0).cast("int")).cast("double").alias(f"_n{i}") for i in range(len(wanted))])
     hit = base.where(F.expr(" or ".join(f"_f{i} > 0" for i in range(len(wanted))))).crossJoin(F.broadcast(tot))  # one row
     score = sum((_bm25(F.col(f"_f{i}"), F.col(f"_n{i}"), F.col("_dl"), F.col("_N"), F.col("_mean")) for i in range(len(wanted))), F.lit(0.0))
@@ -134,6 +137,34 @@ def search_index(index: DataFrame, stats: DataFrame, terms: Sequence[str], id_co
     return out.groupBy(id_col).agg(F.sum("s").alias("score"))
 
 
+# Fixed value: props that a node is found by, beside its body and name.
+FOUND_BY = ("path", "heading", "title", "sheet", "speaker", "alias")
+
+
+def node_text(body: Column, name: Column, props: Column) -> Column:
+    """What a node is found by: its body, the words of its name, and those of FOUND_BY; blank parts are left out."""
+    words = lambda c, signs: F.when(c != "", F.translate(c, signs, " " * len(signs)))
+    return F.concat_ws("\n", F.when(body != "", body), words(name, "/_-"), *[words(props[k], "/_") for k in FOUND_BY])
+
+
+class TextIndex:
+    """Stemmed postings on disk, with the totals of all rows. Files hold ranges of (term, id), sorted, so a search skips all but the row groups of its terms, and a frequent term is spread over several files."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def write(self, docs: DataFrame, id_col: str, text_col: str) -> None:
+        """Replace the index by that of docs. Null texts are empty texts: they count among the totals."""
+        d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        p = postings(d, "id", "text")
+        p.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{self.path}/terms")
+        doc_stats(d, "text").write.mode("overwrite").parquet(f"{self.path}/totals")
+
+    def search(self, terms: Sequence[str]) -> DataFrame:
+        """(id, score) of the rows that hold a term or phrase."""
+        return search_index(self.spark.read.parquet(f"{self.path}/terms"), self.spark.read.parquet(f"{self.path}/totals"), terms, "id")
+
+
 def top(scored: DataFrame, k: int = 20, id_col: str = "uid") -> DataFrame:
     """The k best; equal scores by id."""
     return scored.orderBy(F.desc("score"), id_col).limit(k)
@@ -146,11 +177,12 @@ def normalised(pool: DataFrame, by: Sequence[str], score: str = "score") -> Data
     return pool.withColumn(score, FLOOR + (1 - FLOOR) * F.when(hi > lo, (F.col(score) - lo) / (hi - lo)).otherwise(1.0))
 
 
-def recall(query: str, chunks: DataFrame, facts: DataFrame, k: int = 8, scopes: Sequence[str] = ("project", "global"), kinds: Sequence[str] = ("fact", "chunk"), include_pinned: bool = True, vectors: DataFrame | None = None, stem: bool = False) -> DataFrame:
+def recall(query: str, chunks: DataFrame, facts: DataFrame, k: int = 8, scopes: Sequence[str] = ("project", "global"), kinds: Sequence[str] = ("fact", "chunk"), include_pinned: bool = True, vectors: DataFrame | None = None, stem: bool = False, chunk_hits: Callable[[list[str]], DataFrame] | None = None) -> DataFrame:
     """The k best facts and chunks for a query: (kind, scope, item, path, start_line, text, pinned, score), best first.
 
     chunks: scope, id, path, start_line, text, search_body. facts: scope, id, text, tags, pinned. vectors: (kind, scope, item, cosine) of a semantic search; a
     positive cosine adds SEMANTIC x cosine x scope weight to a hit, or admits one that no word found. Pinned facts come first, at 10 x scope weight, whatever the query.
+    chunk_hits: terms to (id, score), where an index of the chunks is at hand; it must cover the chunks of one scope. Else their texts are read.
     Of equal (kind, scope, path, start_line) or fact the best stays. An empty query gives the pinned facts only.
     """
     terms = parse_recall(query)
@@ -164,7 +196,12 @@ def recall(query: str, chunks: DataFrame, facts: DataFrame, k: int = 8, scopes:
         if name not in kinds or not terms:
             continue
         for scope in scopes:
-            hit = search_scan(df.where(F.col("scope") == scope), terms, "item", "_body", stem)
+            rows = df.where(F.col("scope") == scope)
+            if name == "chunk" and chunk_hits is not None:
+                best = chunk_hits(terms).withColumnRenamed("id", "item").orderBy(F.desc("score"), "item").limit(pool_size)
+                hit = rows.join(F.broadcast(best), "item")  # pool_size rows
+            else:
+                hit = search_scan(rows, terms, "item", "_body", stem)
             pool = hit.orderBy(F.desc("score"), "item").limit(pool_size)
             parts.append(normalised(pool, ["kind", "scope"]).where(~F.col("pinned")).withColumn("score", F.col("score") * base * weight).select(*cols, "score"))
     if include_pinned and "fact" in kinds:

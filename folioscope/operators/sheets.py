@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import materialize
 
 # Rows of a chunk, samples of a column, values that a type is inferred from and the share that must agree, rows of a preview.
 ROWS, SAMPLES, SEEN, AGREE, PREVIEW = 40, 8, 200, 0.9, 5
@@ -23,19 +24,20 @@ def is_header(cells: Column) -> Column:
 
 
 def cells_of(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """(row, position, column, value): the non-empty cells of a table as text, rows numbered in order.
+    """(row, columns as text): rows numbered 1..n in order (ties by the cells), each exactly once. Null cells are ''; an empty table gives no rows.
 
-    Numbering counts within order-ranges first (repartitionByRange) and adds the ranges' offsets, so no single task sorts the table.
+    Rows are sorted by ranges and written once with their range's number. Ranges are counted, and numbered on, from what was written: a range partitioning planned twice could
+    draw other borders. No single task sorts the table, and as many offsets as there are ranges are looked up.
     """
     text = [F.coalesce(X.strip(F.col(c).cast("string")), F.lit("")).alias(c) for c in columns]
-    ranged = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *text)
-    ranged = ranged.repartitionByRange(*[f"_o{i}" for i in range(len(order))]).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(*[f"_o{i}" for i in range(len(order))], *columns)
-    ranged = ranged.withColumn("_r", F.row_number().over(w))
+    keys = [f"_o{i}" for i in range(len(order))]
+    ranged = df.select(*[F.col(c).alias(k) for k, c in zip(keys, order)], *text).repartitionByRange(*keys)
+    ranged = materialize(ranged.withColumn("_p", F.spark_partition_id()), "sheet")
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_off")  # one row a partition
-    rows = ranged.join(F.broadcast(offs), "_p").withColumn("row", F.col("_off") + F.col("_r"))
-    return rows.select("row", *columns)
+    offs = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))  # one row a range
+    w = Window.partitionBy("_p").orderBy(*keys, *columns)
+    rows = ranged.withColumn("_r", F.row_number().over(w)).join(F.broadcast(offs), "_p")
+    return rows.select((F.col("_off") + F.col("_r")).alias("row"), *columns)
 
 
 def profile(rows: DataFrame, columns: list[str]) -> DataFrame:

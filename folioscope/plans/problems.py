@@ -6,10 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes, skew
+from ..session import scratch
 from ..tables import table
 
 
 def p2_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ok run as one commit to a versioned table of states, begun afresh here; the rows are those that the commits inserted."""
+    return changes.changed_by_commits(table(spark, sf_dir, "files"), table(spark, sf_dir, "index_runs"), table(spark, sf_dir, "file_scans"), scratch(spark, "runs"))
+
+
+def p2_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the whole history at once, without stored versions."""
     return changes.changed_scans(table(spark, sf_dir, "files"), table(spark, sf_dir, "index_runs"), table(spark, sf_dir, "file_scans"))
 
 
@@ -33,7 +40,7 @@ def p6_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_changes": p2_changes, "p6_found": p6_found, "p6_results": p6_results, "p6_joined": p6_joined}
+    return {"p2_found": p2_found, "p2_changes": p2_changes, "p2_window": p2_window, "p6_found": p6_found, "p6_results": p6_results, "p6_joined": p6_joined}
 
 
 _P2 = """
@@ -56,6 +63,7 @@ def oracle_sql() -> dict:
     per_key = "SELECT dst_id, kind, count(*) AS n_rows, count(DISTINCT src_id) AS n_src, round(sum(weight), 4) AS sum_weight, strftime(max(created_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f') AS last_created FROM edges GROUP BY dst_id, kind"
     return {
         "p2_found": _P2 + "SELECT scan_id FROM c WHERE change IS NOT NULL",
+        "p2_window": _P2 + "SELECT v AS version, path, scan_id, change FROM c WHERE change IS NOT NULL",
         "p2_changes": _P2 + "SELECT v AS version, path, scan_id, change FROM c WHERE change IS NOT NULL",
         "p6_found": "SELECT dst_id, kind FROM edges GROUP BY dst_id, kind HAVING count(*) > (SELECT count(*) FROM edges) / 200.0",
         "p6_results": per_key,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import model as M
 from ..functions import text as X
 from ..operators import changes, chunking, documents, enrich, entities, facts, graph, merge, search, sheets, vectors
-from ..session import materialize, shared_dir
+from ..session import materialize, scratch
 from ..sources import files as S
 from ..tables import table
 
@@ -173,6 +172,12 @@ def column_profile(spark, sf):
     return sheets.profile(sheets.cells_of(p, cols, ["p_partkey"]), cols).select("position", "column", "dtype", "non_empty", "distinct_values", F.concat_ws("|", "samples").alias("samples"))
 
 
+def sheet_rows(spark, sf):
+    """Row numbers of the largest table: each of 1..n once, in order of the keys."""
+    c = sheets.cells_of(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber"])
+    return c.select("row", "l_orderkey", "l_linenumber")
+
+
 def row_chunks(spark, sf):
     cols = ["p_partkey", "p_name", "p_brand"]
     c = sheets.row_chunks(sheets.cells_of(table(spark, sf, "part"), cols, ["p_partkey"]), cols)
@@ -428,7 +433,7 @@ def enrich_claims(spark, sf):
 
 def versioned_run(spark, sf):
     """Chunk rows through a versioned table: two versions in, one deletion, only the differences out; the sink notes the version that it has processed."""
-    at = f"{shared_dir(spark)}/folioscope-versions-{os.urandom(6).hex()}"
+    at = scratch(spark, "versions")
     src, dst = changes.VersionedTable(spark, f"{at}/src", "id"), changes.VersionedTable(spark, f"{at}/dst", "id")
     c = table(spark, sf, "chunks").select("id", "file_id", "ord")
     src.commit(c.where("id % 3 <> 0"))
@@ -440,26 +445,24 @@ def versioned_run(spark, sf):
 
 
 def stream_mentions(spark, sf):
-    """Identifiers in documents as they stream in, by month of change: a streaming query run to the end of its input."""
+    """Entity mentions of documents as they stream in, by type and month of change: a streaming query over the whole table, run to the end of its input.
+
+    The watermark is two days: the file arrives in one micro-batch, in which nothing is late.
+    """
     from ..streaming import ingest
 
-    schema = _docs(spark, sf).schema
-    if os.path.isdir(f"{sf}/documents.parquet"):
-        folder = f"{sf}/documents.parquet"
-    else:
-        folder = tempfile.mkdtemp(prefix="folioscope-s-")
-        os.symlink(f"{sf}/documents.parquet", f"{folder}/documents.parquet")
-    s = ingest.read_documents(spark, folder, schema).where("modified_at is not null").withColumn("at", F.col("modified_at"))
-    w = ingest.mentions_by_window(s, "at", "text", "30 days", "36500 days").where("type = 'identifier'")
+    # A glob of one table: the source wants a folder or a pattern, and reads the file where it lies.
+    s = ingest.read_documents(spark, f"{sf}/documents.parquet" if os.path.isdir(f"{sf}/documents.parquet") else f"{sf}/documents.parque[t]", _docs(spark, sf).schema)
+    w = ingest.mentions_by_window(s.where("modified_at is not null"), "modified_at", "text", "30 days", "2 days")
     name = f"mentions_{os.urandom(4).hex()}"
     q = w.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).groupBy("start").agg(F.sum("n").alias("n"))
+    return spark.table(name).groupBy("start", "type").agg(F.sum("n").alias("n"))
 
 
 _SIMPLE = (
     source_dispatch, indexable_files, digests, text_clean, preview_rows, identifier_parts, html_text, doc_titles, page_links, line_chunks, chunk_graph_edges, next_segments, transcript_windows, frame_segments,
-    entity_dates_iso, entity_mentions, entity_order_dates, entity_order_money, cross_doc_entities, entity_uids, folder_tree, document_nodes, column_profile, row_chunks, upsert_merge, edge_merge,
+    entity_dates_iso, entity_mentions, entity_order_dates, entity_order_money, cross_doc_entities, entity_uids, folder_tree, document_nodes, column_profile, sheet_rows, row_chunks, upsert_merge, edge_merge,
     unresolved_edges, resolved_edges, gc_orphans, clear_files, cache_misses, export_nodes, export_edges, node_lookup, nodes_by_kind, root_folders, neighbors_filtered, graph_counts, hubs, hubs_entities,
     hubs_parts, shortest_path, subgraph_nodes, subgraph_edges, graph_health, table_counts, modality_counts, latency_percentiles, bm25_topk, bm25_kind_filtered, bm25_phrase, bm25_index, bm25_stemmed,
     recall_pool, recall, common_terms, vector_topk, vectors_missing, vectors_built, fact_related, fact_pairs, incremental_diff, enrich_estimate, enrich_claims, versioned_run, stream_mentions,
@@ -553,6 +556,7 @@ def oracle_sql() -> dict:
         "cross_doc_entities": "WITH m AS (" + _family_sql(r"\b[A-Z][A-Z0-9]{1,9}[-_]\d{1,8}(?:[-_]\d{1,8})*\b", "lower(d)") + ") SELECT value, count(*) AS n_docs FROM m GROUP BY value HAVING count(*) > 1",
         "folder_tree": "WITH p AS (SELECT string_split(regexp_replace(path, '/?[^/]*$', ''), '/') AS d FROM documents), e AS (SELECT DISTINCT array_to_string(d[1:i], '/') AS path FROM (SELECT d, unnest(range(1, len(d) + 1)) AS i FROM p)) SELECT 'dir:' || path AS uid, 'dir:' || CASE WHEN regexp_replace(path, '/?[^/]*$', '') = '' THEN '.' ELSE regexp_replace(path, '/?[^/]*$', '') END AS parent FROM e WHERE path <> '' UNION ALL SELECT 'dir:.', NULL",
         "column_profile": _profile_sql(),
+        "sheet_rows": "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_orderkey::VARCHAR, l_linenumber::VARCHAR) AS row, l_orderkey::VARCHAR AS l_orderkey, l_linenumber::VARCHAR AS l_linenumber FROM lineitem",
         "row_chunks": "WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey) AS r, p_partkey || ' | ' || p_name || ' | ' || p_brand AS l FROM part) SELECT ((r - 1) // 40)::INT AS ord, min(r) AS first_row, max(r) AS last_row, sha256('p_partkey | p_name | p_brand' || chr(10) || string_agg(l, chr(10) ORDER BY r)) AS body_hash FROM r GROUP BY (r - 1) // 40",
         "upsert_merge": """WITH c AS (SELECT uid, kind, name, coalesce(body, '') AS body, owner_file_id::BIGINT::VARCHAR AS owner, id AS seq, 'from' AS k FROM nodes UNION ALL
             SELECT 'doc:' || path, 'document', coalesce(title, path), coalesce(text, '')[1:1000], NULL, doc_id + 1000000000, 'lang' FROM documents)

@@ -58,12 +58,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where the driver is the executor (a local master) and none is set, a temporary one; a cluster without one is an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not where:
         found = sc._jsc.sc().getCheckpointDir()
-        where = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="folioscope-")
+        if found.isDefined():
+            where = found.get()
+        elif sc.master.split("[")[0] == "local":
+            where = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
     return where
@@ -78,12 +83,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

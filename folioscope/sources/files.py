@@ -6,9 +6,17 @@ import importlib.util
 import os
 import shutil
 import subprocess
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..storage import qualified
+
+#: Bytes of files that one task opens, about, and that it holds before it hands them on.
+TASK_BYTES, HELD_BYTES = 128 << 20, 32 << 20
 
 # What listings leave out, size limits, extensions by reader in order of dispatch, extensions that are never text.
 IGNORED_DIRS = "node_modules __pycache__ venv env dist build target vendor site-packages bower_components coverage htmlcov".split()
@@ -40,19 +48,83 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(F.element_at(F.split(path, "/"), -1), "[^.](\\.[^.]+)$", 1))
 
 
+def _kept_dir(name: str) -> bool:
+    return name not in IGNORED_DIRS and not name.startswith(".")
+
+
+def _kept_file(name: str) -> bool:
+    return name not in IGNORED_NAMES and not name.startswith("._")
+
+
+def _entries(at: str, base: str) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """(names of folders, (name, mtime in microseconds, size) of files) of one folder without what listings leave out; links are neither. base: scheme and authority, '' for local."""
+    dirs: list[str] = []
+    found: list[tuple[str, int, int]] = []
+    if not base:
+        try:
+            with os.scandir(at) as it:
+                for e in it:
+                    if e.is_symlink():
+                        continue
+                    if e.is_dir():
+                        dirs += [e.name] if _kept_dir(e.name) else []
+                    elif e.is_file() and _kept_file(e.name):
+                        s = e.stat()
+                        found.append((e.name, s.st_mtime_ns // 1000, s.st_size))
+        except OSError:  # gone, or not ours to read
+            pass
+        return dirs, found
+    from pyarrow import fs
+
+    for i in fs.FileSystem.from_uri(base + "/")[0].get_file_info(fs.FileSelector(at, recursive=False)):
+        if i.type == fs.FileType.Directory and _kept_dir(i.base_name):
+            dirs.append(i.base_name)
+        elif i.type == fs.FileType.File and _kept_file(i.base_name):
+            found.append((i.base_name, (i.mtime_ns or 0) // 1000, i.size))
+    return dirs, found
+
+
 def listing(spark: SparkSession, root: str, max_bytes: int = MAX_FILE) -> DataFrame:
-    """(path, file, mtime, size, skipped) of the files under root, without their content. path is relative; skipped says why a file is left out, else null.
+    """(path, file, mtime, size, skipped) of the files under root, without their content. path is relative, file is what contents() opens; skipped says why a file is left out, else null.
 
-    Hidden and dependency folders, system files and links are not listed. Only metadata columns are read.
+    Hidden and dependency folders, system files and links are not listed; names are taken as they are, whatever signs they have. The driver goes down the folders only until there are
+    enough to share out (64 a core, or all); their files and everything below are listed in tasks. A name that isn't UTF-8 is listed with its bad bytes replaced, as skipped.
     """
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "modificationTime", "length")
-    rel = F.regexp_replace(F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})"), "^/+", "")
-    out = files.select(rel.alias("path"), F.col("path").alias("file"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    parts = F.split("path", "/")
-    dirs, name = F.slice(parts, F.lit(1), F.size(parts) - 1), F.element_at(parts, -1)
-    out = out.where(~F.exists(dirs, lambda d: d.isin(IGNORED_DIRS) | d.startswith(".")) & ~name.isin(IGNORED_NAMES) & ~name.startswith("._"))
-    return out.withColumn("skipped", F.when(F.col("size") > max_bytes, F.lit("too large")))
+    scheme, authority, at = qualified(spark, root)
+    base = "" if scheme == "file" else f"{scheme}://{authority}"
+    if not base and not os.path.isdir(at):
+        raise NotADirectoryError(at) if os.path.exists(at) else FileNotFoundError(at)
+    at = at.rstrip("/")
+    enough = 64 * spark.sparkContext.defaultParallelism
+    alone, below = [], [""]  # folders whose own files are to be listed, and folders to be walked
+    while below and len(alone) + len(below) < enough:
+        alone += below
+        below = [f"{d}{n}/" for d in below for n in _entries(f"{at}/{d}", base)[0]]
+    work = spark.createDataFrame([(os.fsencode(d), False) for d in alone] + [(os.fsencode(d), True) for d in below], "dir binary, deep boolean")
+    work = work.repartition(max(1, min(len(alone) + len(below), enough // 16)))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[tuple] = []
+            todo = [(os.fsdecode(bytes(d)), deep) for d, deep in zip(pdf["dir"], pdf["deep"])]
+            while todo:
+                d, deep = todo.pop()
+                dirs, found = _entries(f"{at}/{d}", base)
+                todo += [(f"{d}{n}/", True) for n in dirs] if deep else []
+                for name, mtime, size in found:
+                    rel = d + name
+                    shown = os.fsencode(rel).decode("utf-8", "replace")
+                    rows.append((shown, f"{base}{at}/{shown}", mtime, size, "name isn't UTF-8" if shown != rel else "too large" if size > max_bytes else None))
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=_LISTED)
+                    rows = []
+            yield pd.DataFrame(rows, columns=_LISTED)
+
+    found = work.mapInPandas(walk, "path string, file string, mtime long, size long, skipped string")
+    return found.withColumn("mtime", F.timestamp_micros("mtime"))
+
+
+_LISTED = ["path", "file", "mtime", "size", "skipped"]
 
 
 def tracked_paths(root: str) -> list[str] | None:
@@ -69,7 +141,8 @@ def tracked_paths(root: str) -> list[str] | None:
 def text_listing(spark: SparkSession, root: str) -> DataFrame:
     """The listing for the text index: what git would commit, if root is a repository; else the plain listing."""
     files = listing(spark, root)
-    kept = tracked_paths(root)
+    scheme, _, at = qualified(spark, root)
+    kept = tracked_paths(at) if scheme == "file" else None
     return files if kept is None else files.join(spark.createDataFrame([(p,) for p in kept], "path string"), "path", "left_semi")
 
 
@@ -80,24 +153,53 @@ def indexable(path: Column, size: Column) -> Column:
 
 
 def contents(files: DataFrame) -> DataFrame:
-    """files (with file) joined with their content; reads only these files."""
+    """files (with file, size) with their content, in tasks of about TASK_BYTES. Each file is opened once, by its name as it is; one that has gone, or can't be read, gives no row."""
     spark = files.sparkSession
-    names = [r["file"] for r in files.select("file").collect()]  # the changed files of one run
-    if not names:
-        return files.withColumn("content", F.lit(None).cast("binary")).limit(0)
-    data = spark.read.format("binaryFile").load(names).select(F.col("path").alias("file"), "content")
-    return files.join(data, "file")
+    total = files.agg(F.sum("size")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    times = [f.name for f in files.schema if f.dataType.simpleString() == "timestamp"]  # as numbers in Python, where local times can be ambiguous
+    flat = files.withColumns({c: F.unix_micros(c) for c in times})
+    schema = T.StructType([*flat.schema.fields, T.StructField("content", T.BinaryType())])
+    at = flat.columns.index("file")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got, held = [], 0
+            for row in pdf.itertuples(index=False, name=None):
+                data = _open(row[at])
+                if data is None:
+                    continue
+                got.append((*row, data))
+                held += len(data)
+                if held > HELD_BYTES:
+                    yield pd.DataFrame(got, columns=schema.names)
+                    got, held = [], 0
+            yield pd.DataFrame(got, columns=schema.names)
+
+    return flat.repartition(int(tasks), F.xxhash64("file")).mapInPandas(read, schema).withColumns({c: F.timestamp_micros(c) for c in times})
+
+
+def _open(name: str) -> bytes | None:
+    if name.startswith("/"):
+        try:
+            with open(name, "rb") as f:
+                return f.read()
+        except OSError:
+            return None
+    from pyarrow import fs
+
+    base = "/".join(name.split("/", 3)[:3])
+    try:
+        with fs.FileSystem.from_uri(base + "/")[0].open_input_stream(name[len(base) :]) as f:
+            return f.read()
+    except OSError:
+        return None
 
 
 def digest(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def is_binary(content: Column) -> Column:
-    """A NUL among the first 8,192 bytes."""
-    return F.instr(F.hex(F.substring(content, 1, 8192)), "00") % 2 == 1
-
-
 def decoded(content: Column) -> Column:
     """UTF-8, else Latin-1; null for binary content."""
     utf8 = F.try_validate_utf8(content.cast("string"))

@@ -16,8 +16,63 @@ def at(h):
 
 
 def found(spark, files, runs, scans):
-    out = changes.changed_scans(spark.createDataFrame(files, FILES), spark.createDataFrame(runs, RUNS), spark.createDataFrame(scans, SCANS))
-    return sorted((r["version"], r["path"], r["scan_id"], r["change"]) for r in out.collect())
+    from folioscope.session import scratch
+
+    tables = spark.createDataFrame(files, FILES), spark.createDataFrame(runs, RUNS), spark.createDataFrame(scans, SCANS)
+    rows = lambda out: sorted((r["version"], r["path"], r["scan_id"], r["change"]) for r in out.collect())
+    at = scratch(spark, "runs")
+    got = rows(changes.changed_by_commits(*tables, at))
+    assert got == rows(changes.changed_scans(*tables)) and got == rows(changes.changed_by_commits(*tables, at))
+    return got
+
+
+def test_runs_that_come_later_and_a_crash_between_commits(spark, tmp_path, monkeypatch):
+    runs = [(1, at(0), at(1), "ok"), *[(r, at(10 + r), at(11 + r), "ok") for r in (25, 26, 27)]]
+    files = spark.createDataFrame([(1, 1, "a", at(0), 1, "x", at(0.5), 1), (2, 1, None, at(0), 1, "n", at(0.6), 1)], FILES)
+    scans = [(1, 25, 1, "a", at(0), 1, None, at(36)), (2, 26, 1, "a", at(0), 1, "y", at(37)), (3, 26, 1, "b", at(0), 1, "b", at(37)), (4, 27, 1, "b", at(0), 1, "c", at(38)), (5, 27, 1, None, at(0), 1, "m", at(38))]
+    root = f"file://{tmp_path}/r"
+    runs_df = lambda n: spark.createDataFrame(runs[:n], RUNS)
+    scans_df = spark.createDataFrame(scans, SCANS)
+    rows = lambda d: sorted((r["version"], r["scan_id"], r["change"]) for r in d.collect())
+    assert rows(changes.changed_by_commits(files, runs_df(2), scans_df, root)) == []
+    real = changes.VersionedTable.commit
+    for at_step in ("before", "after"):  # the driver dies before or after the commit of run 26 (then 27)
+        calls = []
+
+        def dying(self, *a, **k):
+            calls.append(1)
+            if at_step == "before":
+                raise RuntimeError("lost")
+            real(self, *a, **k)
+            raise RuntimeError("lost")
+
+        monkeypatch.setattr(changes.VersionedTable, "commit", dying)
+        with pytest.raises(RuntimeError):
+            changes.changed_by_commits(files, runs_df(4), scans_df, root)
+        monkeypatch.setattr(changes.VersionedTable, "commit", real)
+        assert len(calls) == 1
+    got = rows(changes.changed_by_commits(files, runs_df(4), scans_df, root))
+    assert got == rows(changes.changed_scans(files, runs_df(4), scans_df)) == [(26, 3, "added"), (27, 4, "changed"), (27, 5, "changed")]
+
+
+def test_one_of_two_consumers_commits(spark, tmp_path):
+    src, dst = (changes.VersionedTable(spark, f"file://{tmp_path}/{n}", "id") for n in ("src", "dst"))
+    src.commit(spark.createDataFrame([(1,), (2,)], "id int"))
+
+    def while_another_runs(d):
+        changes.process_changes(src, dst, lambda x: x)
+        return d
+
+    with pytest.raises(changes.Conflict):
+        changes.process_changes(src, dst, while_another_runs)
+    assert changes.process_changes(src, dst, lambda d: d) is None
+    dst.commit(spark.createDataFrame([(9, "insert")], "id int, _change string"))  # somebody else's rows keep the note
+    assert changes.process_changes(src, dst, lambda d: d) is None
+    assert sorted(r["id"] for r in dst.read().collect()) == [1, 2, 9]
+    src.commit(None, spark.createDataFrame([(1,)], "id int"))
+    src.commit(spark.createDataFrame([(1,), (3,)], "id int"))  # a key comes back after its deletion
+    assert sorted(r["id"] for r in src.read().collect()) == [1, 2, 3]
+    assert sorted((r["id"], r["_change"]) for r in src.delta(1).collect()) == [(1, "delete"), (1, "insert"), (3, "insert")]
 
 
 def test_runs_see_what_is_new_or_changed_since_the_last_success(spark):
