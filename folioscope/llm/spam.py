@@ -11,9 +11,9 @@ n-grams repeated more than usual. "Most of the text" is half of it, for links an
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,56 +33,77 @@ _FW_ALL = frozenset().union(*_FW.values())
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
 LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[url=[^\]]*\].*?\[/url\]|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\"')\]]+", re.I | re.S)
 WORD = re.compile(r"[^\W\d_]+|\d+")
-CAMEL = re.compile(r"(?<=[^\W\d_A-ZÀ-Þ])(?=[A-ZÀ-Þ])|(?<=[^\W\d_])(?=\d)")
+FOREIGN, FOREIGN_WORD = re.compile(r"[^\x00-\u024f]"), re.compile(r"[^\x00-\u024f\u2000-\u20cf]")
+#: Words, those in camel case part by part.
+PART = re.compile(r"[A-ZÀ-Þ]+[^\W\d_A-ZÀ-Þ]*|[^\W\d_A-ZÀ-Þ]+|\d+")
 HASHTAG = re.compile(r"#\w+")
 SEP = re.compile(r"[,;|/•·#>»\n]")
 SENTENCE_END = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)")
 START = re.compile(r"[\"'“”‘’«»(\[¿¡*\-–—\s]*([A-ZÀ-Þ0-9]|[^\x00-\u024f])")
 LOG = re.compile(r"\s*\[?(?:\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4})[T ]\d\d:\d\d")
 CODE = re.compile(r"^(?:\t| {4})\S|^\s*(?:def|class|func|fn|function|import|from|return|if|for|while|const|let|var|public|private|SELECT)\b.*[(:;={]|[{};]\s*$|^\s*(?:#include|//|/\*)")
+#: A line with none of these, and not set in, is no code.
+CODE_SIGNS = frozenset("(:;={}#/\t")
 WINDOW = 50
-#: Seen shorter than this, a text can't be told apart.
-MIN_WORDS = 12
+#: What makes a repetition and a list: words that stood before, and links or tags.
+REPEATED, LIST = 5, 3
 #: Least number of ordinary documents that a threshold is taken from.
 ENOUGH = 30
 #: Classes of length: the binary logarithm of the number of words, between these.
-CLASSES = (3, 10)
-
-
-def variety(words: list[str], window: int = WINDOW) -> float:
-    """Mean share of different words in a sliding window; 1 for fewer than 8 words."""
-    n = len(words)
-    if n < 8:
-        return 1.0
-    if n <= window:
-        return len(set(words)) / n
-    c, total = Counter(words[:window]), 0
-    total, k = len(c), 1
-    for i in range(window, n):
-        o = words[i - window]
-        c[o] -= 1
-        if not c[o]:
-            del c[o]
-        c[words[i]] += 1
-        total += len(c)
-        k += 1
-    return total / k / window
-
-
-def top_share(counted: Counter) -> float:
-    """Share of the most frequent word among those that are neither function words nor figures."""
-    content = [k for w, k in counted.items() if w not in _FW_ALL and not w.isdigit()]
-    return max(content, default=0) / max(1, sum(content))
-
-
-def gram_share(words: list[str]) -> float:
-    """Share of word pairs that stood before."""
-    return 1 - len(set(zip(words, words[1:]))) / (len(words) - 1) if len(words) > 1 else 0.0
+CLASSES = (2, 10)
+
+
+class Repeats:
+    """How repetitive a list of words is. Words are numbered once; every measure is taken from the numbers."""
+
+    def __init__(self, words: list[str]):
+        self.n = len(words)
+        self.words = list(dict.fromkeys(words))
+        number = dict(zip(self.words, range(len(self.words))))
+        self.ids = np.array(list(map(number.__getitem__, words)), dtype=np.int64)
+        self.counts = np.bincount(self.ids, minlength=len(self.words))
+        self.figures = np.array(list(map(str.isdigit, self.words)), dtype=bool)
+
+    def repeated(self) -> int:
+        """Words that stood before."""
+        return self.n - len(self.words)
+
+    def variety(self, window: int = WINDOW) -> float:
+        """Mean share of different words in a sliding window; 1 for fewer than 8 words.
+
+        A word counts in those windows in which it stands and its last occurrence before doesn't, so each word's share is a difference of positions.
+        """
+        n = self.n
+        if n < 8:
+            return 1.0
+        if n <= window:
+            return len(self.words) / n
+        order = np.argsort(self.ids, kind="stable")
+        before = np.full(n, -1, dtype=np.int64)
+        same = self.ids[order[1:]] == self.ids[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        at = np.arange(n)
+        first = np.maximum(np.maximum(at - window + 1, 0), before + 1)
+        total = np.maximum(np.minimum(at, n - window) - first + 1, 0).sum()
+        return float(total) / (n - window + 1) / window
+
+    def top(self) -> float:
+        """Share of the most frequent word among those that are neither function words nor figures."""
+        content = [k for w, k, d in zip(self.words, self.counts.tolist(), self.figures.tolist()) if not d and w not in _FW_ALL]
+        return max(content, default=0) / max(1, sum(content))
+
+    def grams(self, fold: bool = False) -> float:
+        """Share of word pairs that stood before; with fold, all figures are one word."""
+        if self.n < 2:
+            return 0.0
+        ids = np.where(self.figures[self.ids], len(self.words), self.ids) if fold else self.ids
+        pairs = ids[:-1] * (len(self.words) + 1) + ids[1:]
+        return 1 - len(np.unique(pairs)) / (self.n - 1)
 
 
 def _is_record(line: str) -> bool:
     """A table row, log line or line of code."""
-    if LOG.match(line) or CODE.search(line):
+    if LOG.match(line) or (not CODE_SIGNS.isdisjoint(line) or line.startswith("    ")) and CODE.search(line):
         return True
     for sep in (";", "\t", "|", ","):
         if line.count(sep) < 2:
@@ -95,24 +116,26 @@ def _is_record(line: str) -> bool:
     return False
 
 
-def _is_sentence(s: str) -> bool:
-    words = [w.lower() for w in WORD.findall(s)]
-    letters = [w for w in words if not w.isdigit()]
+def _is_sentence(s: str, words: list[str]) -> bool:
+    """Whether s, whose lower-case words are given, is a sentence."""
     if len(words) < 4 or not START.match(s):
-        return len(letters) < 6 and bool(re.search(r"[^\x00-\u024f]", s))  # scripts that we have no function words for
-    hits = sum(w in _FW_ALL for w in letters)
-    return hits >= 2 or (hits >= 1 and hits * 6 >= len(letters)) or bool(re.search(r"[^\x00-\u024f\u2000-\u20cf]", s))
+        return FOREIGN.search(s) is not None and sum(not w.isdigit() for w in words) < 6  # scripts that we have no function words for
+    hits = sum(map(_FW_ALL.__contains__, words))
+    return hits >= 2 or (hits == 1 and sum(not w.isdigit() for w in words) <= 6) or FOREIGN_WORD.search(s) is not None
 
 
-def _sentences(line: str) -> tuple[list[str], list[str]]:
-    """The sentences of a line, and what lies between them."""
-    good, kept, at = [], [], 0
+def _parts(line: str) -> list[tuple[bool, str, list[str]]]:
+    """The line cut after sentence ends: (whether it is a sentence, the part, its lower-case words). The last part is none."""
+    out, at = [], 0
     for m in SENTENCE_END.finditer(line):
         s = line[at : m.end()]
-        (good if _is_sentence(s) else kept).append(s)
+        words = WORD.findall(s.lower())
+        out.append((_is_sentence(s, words), s, words))
         at = m.end()
-    kept.append(line[at:])
-    return good, kept
+    tail = line[at:]
+    if tail:
+        out.append((False, tail, WORD.findall(tail.lower())))
+    return out
 
 
 def size(s: str) -> int:
@@ -121,67 +144,89 @@ def size(s: str) -> int:
 
 
 def measure(text: str | None) -> dict:
-    """The measures of one text; shares are of its characters without white space."""
+    """The measures of one text; shares are of its characters without white space. Every line is cut, and every part of it made words, once."""
     t = text or ""
-    n = max(1, size(t))
     linked = any(x in t for x in ("://", "www.", "WWW.", "](", "<a", "<A", "[url", "[URL"))
-    record = sentence = link = 0
+    total = record = sentence = link = left = n_links = 0
     rest: list[str] = []
+    lines: list[str] = []
+    words: list[str] = []
     for line in t.split("\n"):
-        if not line or line.isspace():
+        bare = line.strip()
+        if not bare:
             continue
-        has_link = linked and LINK.search(line) is not None
-        if not has_link and _is_record(line):
-            record += size(line)
+        lines.append(bare)
+        spans = [m.span() for m in LINK.finditer(line)] if linked else []
+        if not spans and _is_record(line):
+            n = size(line)
+            total += n
+            record += n
+            words += WORD.findall(line.lower())
             continue
-        links = sum(size(m.group()) for m in LINK.finditer(line)) if has_link else 0
-        if links and links * 10 >= size(line) * 4:
-            whole = LINK.sub(" ", line)
-            good = sum(size(s) for s in _sentences(whole)[0])
-            sentence += good
-            link += size(line) - good
+        plain = line
+        if spans:
+            ends = [0, *(b for _, b in spans)]
+            plain = " ".join([line[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(line)])])
+            words += WORD.findall(line.lower())
+        good = other = 0
+        kept = []
+        for fine, part, own in _parts(plain):
+            if not spans:
+                words += own
+            n = size(part)
+            if fine:
+                good += n
+            elif n:
+                other += n
+                kept.append(part)
+        links = sum(size(line[a:b]) for a, b in spans)
+        n_links += len(spans)
+        sentence += good
+        total += good + other + links
+        if links * 10 >= (good + other + links) * 4 and spans:
+            link += other + links
             continue
         link += links
-        plain = LINK.sub(" ", line) if links else line
-        good, kept = _sentences(plain)
-        sentence += sum(map(size, good))
-        tail = " ".join(k for k in kept if k.strip())
-        if tail:
-            rest.append(tail)
+        if kept:
+            rest.append(" ".join(kept))
+            left += other
+    n = max(1, total)
     body = "\n".join(rest)
-    words = [w.lower() if not w.isdigit() else "0" for w in WORD.findall(CAMEL.sub(" ", body))]
-    all_words = [w.lower() for w in WORD.findall(t)]
-    counted = Counter(all_words)
-    letters = sum(n for w, n in counted.items() if not w.isdigit())
-    by_lang = {lang: sum(n for w, n in counted.items() if w in fw) for lang, fw in _FW.items()}
+    mine = Repeats(["0" if w.isdigit() else w for w in "\n".join(PART.findall(body)).lower().split("\n") if w] if left else [])
+    every = Repeats(words)
+    letters = int(every.counts[~every.figures].sum())
+    common = [(w, k) for w, k in zip(every.words, every.counts.tolist()) if w in _FW_ALL]
+    by_lang = {lang: sum(k for w, k in common if w in fw) for lang, fw in _FW.items()}
     lang = max(by_lang, key=lambda k: (by_lang[k], k == "en")) if letters else None
-    lines = [x for x in map(str.strip, t.split("\n")) if x]
-    folded = ["0" if w.isdigit() else w for w in all_words]
+    tags = len(HASHTAG.findall(body))
     return {
         "guess": lang if lang and by_lang[lang] >= max(2, letters // 50) else None,
-        "n_words": len(all_words),
+        "n_words": every.n,
         "fw": by_lang[lang] / letters if letters else 0.0,
         "sentence": sentence / n,
         "record": record / n,
         "link": link / n,
-        "rest": size(body) / n,
-        "rest_words": len(words),
-        "rest_fw": sum(w in _FW_ALL for w in words) / len(words) if words else 0.0,
-        "variety": variety(words),
-        "top": top_share(Counter(words)),
-        "grams": gram_share(words),
+        "n_links": n_links,
+        "rest": left / n,
+        "rest_words": mine.n,
+        "rest_repeated": mine.repeated(),
+        "rest_fw": sum(k for w, k in zip(mine.words, mine.counts.tolist()) if w in _FW_ALL) / mine.n if mine.n else 0.0,
+        "variety": mine.variety(),
+        "top": mine.top(),
+        "grams": mine.grams(),
         "dup": 1 - len(set(rest)) / len(rest) if rest else 0.0,
-        "sep": len(SEP.findall(body)) / max(1, len(words)),
-        "tags": len(HASHTAG.findall(body)) / max(1, len(body.split())),
-        "prose_variety": variety(all_words),
-        "prose_top": top_share(counted),
-        "prose_grams": gram_share(folded),
+        "sep": len(SEP.findall(body)) / max(1, mine.n),
+        "tags": tags / max(1, len(body.split())),
+        "n_tags": tags,
+        "prose_variety": every.variety(),
+        "prose_top": every.top(),
+        "prose_grams": every.grams(True),
         "prose_dup": 1 - len(set(lines)) / len(lines) if lines else 0.0,
-        "prose_sep": (sum(map(t.count, ",;|/•·#>»")) + max(0, len(lines) - 1)) / max(1, len(all_words)),
+        "prose_sep": (sum(map(t.count, ",;|/•·#>»")) + max(0, len(lines) - 1)) / max(1, every.n),
     }
 
 
-COLUMNS = "guess string, n_words int, fw double, sentence double, record double, link double, rest double, rest_words int, rest_fw double, variety double, top double, grams double, dup double, sep double, tags double, prose_variety double, prose_top double, prose_grams double, prose_dup double, prose_sep double"
+COLUMNS = "guess string, n_words int, fw double, sentence double, record double, link double, n_links int, rest double, rest_words int, rest_repeated int, rest_fw double, variety double, top double, grams double, dup double, sep double, tags double, n_tags int, prose_variety double, prose_top double, prose_grams double, prose_dup double, prose_sep double"
 
 
 def measures(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
@@ -221,11 +266,11 @@ def thresholds(measured: DataFrame) -> DataFrame:
     # A language with few plain documents gets the figures of all of them.
     every = plain.agg(F.percentile_approx("prose_variety", 0.5, 1000).alias("v0"), F.percentile_approx("fw", 0.5, 1000).alias("f0"), F.percentile_approx("prose_dup", 0.99, 1000).alias("d0"), F.percentile_approx("prose_sep", 0.99, 1000).alias("s0"))
     # So does a class of length of a language: first those of the class in all languages, then those of all classes.
-    sized = measured.where((F.col("sentence") > 0.7) & (F.col("n_words") >= MIN_WORDS)).withColumn("size_class", length_class("n_words"))
+    sized = measured.where((F.col("sentence") > 0.7) & (F.col("n_words") >= 4)).withColumn("size_class", length_class("n_words"))
     shares = lambda i: [F.percentile_approx("prose_top", 0.99, 1000).alias(f"t{i}"), F.percentile_approx("prose_grams", F.array(F.lit(0.9), F.lit(0.99)), 1000).alias(f"g{i}"), F.count(F.lit(1)).alias(f"n{i}")]
     classes = measured.sparkSession.range(CLASSES[0], CLASSES[1] + 1).select(F.col("id").cast("int").alias("size_class"))
-    q = measured.select("language").distinct().join(q, "language", "left").crossJoin(F.broadcast(every)).crossJoin(F.broadcast(sized.agg(*shares(0)))).crossJoin(F.broadcast(classes))  # one row, one row, eight rows
-    q = q.join(sized.groupBy("language", "size_class").agg(*shares(2)), ["language", "size_class"], "left").join(F.broadcast(sized.groupBy("size_class").agg(*shares(1))), "size_class", "left")  # eight rows
+    q = measured.select("language").distinct().join(q, "language", "left").crossJoin(F.broadcast(every)).crossJoin(F.broadcast(sized.agg(*shares(0)))).crossJoin(F.broadcast(classes))  # one row, one row, nine rows
+    q = q.join(sized.groupBy("language", "size_class").agg(*shares(2)), ["language", "size_class"], "left").join(F.broadcast(sized.groupBy("size_class").agg(*shares(1))), "size_class", "left")  # nine rows
     few = F.coalesce("n", F.lit(0)) < ENOUGH
 
     def own(k: str, default: float) -> Column:
@@ -252,16 +297,17 @@ def thresholds(measured: DataFrame) -> DataFrame:
 def spam_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """The measures, the thresholds of the document's language and is_spam, for every document.
 
-    Null, empty and very short texts are no spam. Copies get equal results. Measures are written once to the shared folder (a few numbers a document).
+    Null and empty texts are no spam. A text of any length is, whose greater part repeats words (at least REPEATED of them), or is a list of at least LIST links or tags. Copies get equal results. Measures are written once to the shared folder (a few numbers a document).
     """
     m = materialize(measures(documents, id_col, text_col, lang_col), "spam")
-    m = m.withColumn("size_class", length_class("rest_words")).join(F.broadcast(thresholds(m)), ["language", "size_class"], "left")  # eight rows a language
+    m = m.withColumn("size_class", length_class("rest_words")).join(F.broadcast(thresholds(m)), ["language", "size_class"], "left")  # nine rows a language
     listed = (F.col("sep") > F.col("max_sep")) & (F.col("rest_fw") < F.col("min_fw")) & (F.col("grams") > F.col("usual_grams"))
     repeated = (F.col("variety") < F.col("min_variety")) | (F.col("top") > F.col("max_top")) | (F.col("grams") > F.col("max_grams")) | (F.col("dup") > F.col("max_dup"))
-    stuffed = (F.col("rest") > 0.5) & (F.col("rest_words") >= MIN_WORDS) & (repeated | (F.col("tags") > 0.5) | listed)
-    links = (F.col("link") > 0.5) & (F.col("sentence") < 0.3)
-    both = (F.col("link") + F.when(F.col("variety") < F.col("min_variety"), F.col("rest")).otherwise(0.0)) > 0.6
-    return m.withColumn("is_spam", (F.col("n_words") >= MIN_WORDS) & (stuffed | links | both))
+    again, tagged, linked = F.col("rest_repeated") >= REPEATED, (F.col("tags") > 0.5) & (F.col("n_tags") >= LIST), F.col("n_links") >= LIST
+    stuffed = (F.col("rest") > 0.5) & (((repeated | listed) & again) | tagged)
+    links = linked & (F.col("link") > 0.5) & (F.col("sentence") < 0.3)
+    both = (linked | again) & ((F.col("link") + F.when(F.col("variety") < F.col("min_variety"), F.col("rest")).otherwise(0.0)) > 0.6)
+    return m.withColumn("is_spam", stuffed | links | both)
 
 
 def find_spam(documents: DataFrame) -> DataFrame:

@@ -92,3 +92,24 @@ def test_each_signal_flags_a_page(spark):
     rows = [(i, t, "en") for i, (_, t) in enumerate(pages)] + [(100 + i, prose(3 + i % 30), "en") for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(pages[r["doc_id"]][0] for r in spam.find_spam(df).collect()) == sorted(spam_pages)
+
+
+def test_short_pages(spark):
+    short_spam = ["buy cheap pills buy cheap pills buy cheap pills", "#sale #shoes #discount", "http://a.example/x\nhttp://b.example\nhttp://c.example", "shoes shoes shoes shoes shoes shoes"]
+    honest = ["Notes", "ok ok", "red blue green", "http://a.example/x", "#todo", "See http://a.example/x and http://b.example for the plan.", "The ferry left at noon.", "12 12 12", "", None, "\u2014 \u2014"]
+    rnd = random.Random(5)
+    plain = [" ".join(f"The {rnd.choice(NOUNS)} was kept in the {rnd.choice(NOUNS)} near a {rnd.choice(NOUNS)}." for _ in range(1 + i % 20)) for i in range(160)]
+    pages = [*short_spam, *honest, *plain]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(pages)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in spam.find_spam(df).collect()) == list(range(len(short_spam)))
+
+
+def test_variety_is_the_mean_over_all_windows():
+    rnd = random.Random(7)
+    for n in (0, 5, 8, 50, 51, 400):
+        words = [rnd.choice(NOUNS) for _ in range(n)]
+        k = [words[i : i + 50] for i in range(max(1, n - 49))]
+        want = 1.0 if n < 8 else sum(len(set(w)) / len(w) for w in k) / len(k)
+        r = spam.Repeats(words)
+        assert abs(r.variety() - want) < 1e-9 and r.repeated() == n - len(set(words))
+        assert n < 2 or abs(r.grams() - (1 - len(set(zip(words, words[1:]))) / (n - 1))) < 1e-9
