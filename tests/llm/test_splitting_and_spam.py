@@ -98,7 +98,8 @@ def test_short_pages(spark):
     short_spam = ["buy cheap pills buy cheap pills buy cheap pills", "#sale #shoes #discount", "http://a.example/x\nhttp://b.example\nhttp://c.example", "shoes shoes shoes shoes shoes shoes"]
     honest = ["Notes", "ok ok", "red blue green", "http://a.example/x", "#todo", "See http://a.example/x and http://b.example for the plan.", "The ferry left at noon.", "12 12 12", "", None, "\u2014 \u2014"]
     rnd = random.Random(5)
-    plain = [" ".join(f"The {rnd.choice(NOUNS)} was kept in the {rnd.choice(NOUNS)} near a {rnd.choice(NOUNS)}." for _ in range(1 + i % 20)) for i in range(160)]
+    small = "the of a in to was were by with from and or that when before under".split()
+    plain = [" ".join(f"The {' '.join(x for w in rnd.sample(NOUNS + WORDS, 4) for x in (w, rnd.choice(small)))} {rnd.choice(WORDS)}." for _ in range(1 + i % 20)) for i in range(160)]
     pages = [*short_spam, *honest, *plain]
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(pages)], "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in spam.find_spam(df).collect()) == list(range(len(short_spam)))
