@@ -1,11 +1,14 @@
 """Variant spellings of the names of people and organisations: linking those that mean the same one.
 
 A name is parsed into a stem (surname, or the proper part of an organisation's name) and the rest (given name; trade). Stems are joined
-within radius RADIUS of the Levenshtein distance, a true metric. Nearest-pivot cells alone don't part such stems: their distances
+by the edit distance: from LONG letters on within radius RADIUS of the Levenshtein distance, a true metric; shorter ones, from SHORTEST letters on, within one slip (an edit or a swap of
+neighbours). Nearest-pivot cells alone don't part such stems: their distances
 to any pivot lie so close together that the triangle inequality copies nearly every stem into nearly every cell (see README). So the
-cells are those of the pigeonhole principle (of RADIUS + 1 segments of a stem one is unharmed); inside a cell the distances to fixed pivots
-prune by the triangle inequality, and the exact distance decides. The join is exact. Stems that hang together form a cluster; in it, given
-names are matched by equality, short forms, initials, abbreviations and typing errors.
+cells are those of the pigeonhole principle (of RADIUS + 1 segments of a long stem one is unharmed) and of single deletions (short ones); inside a cell the distances to fixed pivots
+prune by the triangle inequality, and the exact distance decides. The join is exact.
+
+Records of a person are then linked pair by pair, by joins: stems that are neighbours, given names that are equal, share a full form or differ by typing errors. Classes are the
+connected components of those links. Abbreviations, initials and lone surnames look up the classes that they fit by (stem, start of the given name). No step gathers a surname's records in one place.
 """
 
 from __future__ import annotations
@@ -18,14 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import skew_join
 from ..session import materialize
 
 #: Radius of the stem join.
 RADIUS = 2
 #: Number of pivots, whatever the size of the data.
 PIVOTS = 6
-#: Stems shorter than this must be equal: two edits could turn one into any other.
-SHORT = 6
+#: Stems of at least LONG letters are joined within the radius; of a pair with a shorter one, both within one slip; stems below SHORTEST letters, which one slip turns into any other, only if equal.
+LONG, SHORTEST = 6, 3
 
 # Titles and additions of people; legal forms, additions and trades of organisations with their short forms.
 TITLES = frozenset("mr mrs ms miss dr prof sir madam mme mlle m herr frau hr fr sr sra srta don dona ing dipl".split())
@@ -175,43 +179,69 @@ def index_keys(s: str) -> list[str]:
 def probe_keys(s: str) -> list[str]:
     """Every key under which a stem at most as long as s, and within the radius, has an unharmed segment."""
     out = set()
-    for length in range(max(SHORT, len(s) - RADIUS), len(s) + 1):
+    for length in range(max(LONG, len(s) - RADIUS), len(s) + 1):
         for i, (a, n) in enumerate(segments(length)):
             for x in range(max(0, a - RADIUS), min(len(s) - n, a + RADIUS) + 1):
                 out.add(f"{length}.{i}.{s[x : x + n]}")
     return list(out)
 
 
+def deletions(s: str) -> list[str]:
+    """The word and every single deletion of it: words within one slip share one."""
+    return list({s, *(s[:i] + s[i + 1 :] for i in range(len(s)))})
+
+
+def _keyed(words: DataFrame, fn, name: str) -> DataFrame:
+    """(block, key, name, d_name) of words (block, stem, d) for every key that fn gives."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(b, k, s, x) for b, s, x in zip(pdf["block"], pdf["stem"], pdf["d"]) for k in fn(s)]
+            yield pd.DataFrame(rows, columns=["block", "key", name, f"d_{name}"])
+
+    return words.mapInPandas(run, f"block string, key string, {name} string, d_{name} array<int>")
+
+
+def _slips(pairs: DataFrame) -> DataFrame:
+    """Adds slip, the number of typing errors between a and b."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(slip=[slipped(a, b) for a, b in zip(pdf["a"], pdf["b"])])
+
+    return pairs.select("block", "a", "b").mapInPandas(run, "block string, a string, b string, slip int")
+
+
 def stem_links(stems: DataFrame) -> DataFrame:
-    """(a, b) of different stems of one block within the radius; stems: distinct (block, stem). Exact."""
+    """(block, a, b, slip), a < b, of different stems of one block that are near; stems: distinct (block, stem). Exact: see LONG and SHORTEST."""
     pivots = [r["stem"] for r in stems.select("stem").distinct().orderBy(F.xxhash64("stem")).limit(PIVOTS).collect()]
     d = [F.levenshtein(F.col("stem"), F.lit(p)) for p in pivots]
-    base = stems.where(F.length("stem") >= SHORT).select("block", "stem", F.array(*d).alias("d") if d else F.array().cast("array<int>").alias("d"))
+    base = stems.select("block", "stem", F.array(*d).alias("d") if d else F.array().cast("array<int>").alias("d"))
+    long, short = base.where(F.length("stem") >= LONG), base.where(F.length("stem").between(SHORTEST, LONG))
 
-    def keyed(fn, name: str) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = [(b, k, s, x) for b, s, x in zip(pdf["block"], pdf["stem"], pdf["d"]) for k in fn(s)]
-                yield pd.DataFrame(rows, columns=["block", "key", name, f"d_{name}"])
+    def met(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
+        cond = (left["block"] == right["block"]) & (left["key"] == right["key"]) & (F.col("a") != F.col("b"))
+        for i in range(len(pivots)):
+            cond = cond & (F.abs(F.col("d_a")[i] - F.col("d_b")[i]) <= radius)  # |d(a, p) - d(b, p)| <= d(a, b): the triangle inequality
+        cond = cond & (F.levenshtein(F.col("a"), F.col("b"), radius) >= 0)
+        return left.join(right, cond).select(left["block"], F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-        return base.mapInPandas(run, f"block string, key string, {name} string, d_{name} array<int>")
+    far = met(_keyed(long, index_keys, "a"), _keyed(long, probe_keys, "b"), RADIUS)
+    near = met(_keyed(short, deletions, "a"), _keyed(short, deletions, "b"), 2)  # a swap is two edits
+    near = near.where(F.least(F.length("a"), F.length("b")) < LONG)
+    return _slips(far.unionByName(near).distinct()).where((F.col("slip") <= 1) | (F.least(F.length("a"), F.length("b")) >= LONG))
 
-    left, right = keyed(index_keys, "a"), keyed(probe_keys, "b")
-    near = [F.abs(F.col("d_a")[i] - F.col("d_b")[i]) <= RADIUS for i in range(len(pivots))]
-    cond = (left["block"] == right["block"]) & (left["key"] == right["key"]) & (F.col("a") != F.col("b"))
-    for c in near:
-        cond = cond & c  # |d(a, p) - d(b, p)| <= d(a, b): the triangle inequality
-    cond = cond & (F.levenshtein(F.col("a"), F.col("b"), RADIUS) >= 0)
-    return left.join(right, cond).select(left["block"], "a", "b").distinct()
 
+def components(links: DataFrame) -> DataFrame:
+    """(block, stem, cluster) of the nodes that links (block, a, b) touch: the least node that hangs together with each.
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:
-    """(block, stem, cluster): the least stem that hangs together with each. Labels spread along links and jump along themselves; every round is written to the shared folder."""
+    Labels spread along links and jump along themselves until none changes, which takes about the logarithm of the longest chain; labels only fall, so it ends. Every round is written to
+    the shared folder.
+    """
     both = links.select("block", "a", "b").unionByName(links.select("block", F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.distinct(), "stem-links")
-    touched = both.select("block", F.col("a").alias("stem")).distinct()
-    label = touched.withColumn("cluster", F.col("stem"))
-    for _ in range(rounds):
+    both = materialize(both.distinct(), "links")
+    label = both.select("block", F.col("a").alias("stem")).distinct().withColumn("cluster", F.col("stem"))
+    while True:
         spread = both.join(label.withColumnRenamed("stem", "b"), ["block", "b"]).groupBy("block", F.col("a").alias("stem")).agg(F.min("cluster").alias("near"))
         step = label.join(spread, ["block", "stem"]).select("block", "stem", F.least("cluster", "near").alias("cluster"), F.col("cluster").alias("was"))
         jump = step.select("block", F.col("stem").alias("cluster"), F.col("cluster").alias("far"))
@@ -219,126 +249,145 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 30) -> DataFram
         new = materialize(new, "labels")
         label = new.drop("was")
         if new.where(F.col("cluster") != F.col("was")).isEmpty():
-            break
-    return nodes.join(label, ["block", "stem"], "left").withColumn("cluster", F.coalesce("cluster", "stem"))
+            return label
+
 
+#: Learning short forms: least number of surnames that share a pair; least share of the short form's surnames; least ratio of shared surnames to those that chance would give.
+LEARN_LEAST, LEARN_SHARE, LEARN_LIFT = 2, 0.5, 4
 
-def resolve(people: list[tuple[str, str, str]], forms: dict[str, frozenset[str]]) -> list[int]:
-    """Groups within a cluster of surnames: a number for each (stem, form, given).
 
-    Full given names are one if they are equal, share a full form, or differ by typing errors (two in all with those of the surname). An
-    abbreviation or initial joins the only person it fits; if it fits several, those of its own surname spelling; if that isn't one either, it stays with its like.
+def learned_forms(people: DataFrame, full: DataFrame) -> DataFrame:
+    """(short, full) given names that stand for each other though no list says so: one stands beside the other under several surnames, and mostly beside that one.
+
+    people: distinct (surname, g). full: (g) listed full forms, which are no short forms of others. All surnames count, also those with many given names. Pairs are not made of all the
+    given names of a surname: a partner must share at least need = max(LEARN_LEAST, LEARN_SHARE n) of a name's n surnames, so it stands under one of the n - need + 1 surnames with the
+    fewest given names, and only those propose partners; the shared surnames of the proposed pairs are then counted in full.
+    """
+    size = people.groupBy("surname").agg(F.count(F.lit(1)).alias("k"))
+    n = people.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    names = people.join(n.where(F.col("n") >= LEARN_LEAST), "g").join(full, "g", "left_anti")  # possible short forms
+    sized = names.join(size, "surname").where("k > 1")
+    per = sized.groupBy("g", "n").agg(F.array_sort(F.collect_list(F.struct("k", "surname"))).alias("s"))  # the surnames of one given name
+    need = F.greatest(F.lit(LEARN_LEAST), F.ceil(F.col("n") * LEARN_SHARE))
+    prefix = per.withColumn("room", (F.col("n") - need + 1 - (F.col("n") - F.size("s"))).cast("int")).where("room > 0")  # surnames with no other given name offer none
+    prefix = prefix.select("g", "n", F.explode(F.slice("s", F.lit(1), F.col("room"))).alias("x")).select("g", "n", F.col("x.surname").alias("surname"))
+    pairs = prefix.join(people.withColumnRenamed("g", "h"), "surname").where("g <> h").select("g", "n", "h").distinct()
+    pairs = pairs.join(n.select(F.col("g").alias("h"), F.col("n").alias("m")), "h").where(F.col("m") >= F.col("n") * LEARN_SHARE)
+    both = pairs.join(people, "g").join(people.withColumnRenamed("g", "h"), ["h", "surname"], "left_semi").groupBy("g", "h", "n", "m").agg(F.count(F.lit(1)).alias("k"))
+    total = F.broadcast(size.agg(F.count(F.lit(1)).alias("t")))  # one row
+    both = both.crossJoin(total).where((F.col("k") >= LEARN_LEAST) & (F.col("k") >= LEARN_SHARE * F.col("n")) & (F.col("k") * F.col("t") >= LEARN_LIFT * F.col("n") * F.col("m")))
+    return both.select(F.col("g").alias("short"), F.col("h").alias("full"))
+
+
+def _near(links: DataFrame, block: str, own: DataFrame) -> DataFrame:
+    """(a, b, slip) in both directions and of every word with itself; own: distinct (stem)."""
+    x = links.where(F.col("block") == block)
+    return x.select("a", "b", "slip").unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b"), "slip")).unionByName(own.select(F.col("stem").alias("a"), F.col("stem").alias("b"), F.lit(0).alias("slip")))
+
+
+def same_person(full: DataFrame, near: DataFrame, canon: DataFrame, given: DataFrame, listed: DataFrame) -> DataFrame:
+    """(block, a, b): links of records with full given names; a record is 'stem.given'.
+
+    full: distinct (s, g). near: neighbouring stems. canon: (g, f), every given name with the full forms that it may stand for. given: neighbouring given names. Two records are one person if
+    their stems are within two typing errors and their given names share a form; or if a given name that no list has differs by one error (stems by one at most), or two unlisted
+    ones of six letters or more by two and the stems are equal.
     """
-    n = len(people)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def same_given(g: str, h: str) -> bool:
-        return g == h or bool(forms.get(g, frozenset((g,))) & forms.get(h, frozenset((h,))))
-
-    full = [i for i in range(n) if people[i][1] == "full"]
-    order = sorted(full, key=lambda i: people[i])
-    for x, i in enumerate(order):
-        for j in order[x + 1 :]:
-            (s, _, g), (t, _, h) = people[i], people[j]
-            if find(i) == find(j):
-                continue
-            if same_given(g, h):
-                if s == t or slipped(s, t) <= 2:
-                    root[find(j)] = find(i)
-            elif min(len(g), len(h)) >= 3 and g not in forms or h not in forms:
-                k = slipped(g, h)
-                if k == 1 and slipped(s, t) <= 1 or k == 2 and s == t and min(len(g), len(h)) >= 6 and g not in forms and h not in forms:
-                    root[find(j)] = find(i)
-    groups: dict[int, list[int]] = {}
-    for i in full:
-        groups.setdefault(find(i), []).append(i)
-
-    def fits(g: str, members: list[int]) -> bool:
-        names = {h for m in members for h in ({people[m][2]} | forms.get(people[m][2], frozenset()))}
-        return any(h.startswith(g) or len(g) > 2 and slipped(h[: len(g)], g) <= 1 for h in names)
-
-    left: dict[tuple, int] = {}
-    for i in range(n):
-        s, form, g = people[i]
-        if form == "full":
-            continue
-        hits = [r for r, m in groups.items() if (form == "none" or fits(g, m)) and any(slipped(s, people[k][0]) <= 2 for k in m)]
-        if len(hits) > 1 and form != "none":
-            own = [r for r in hits if any(people[k][0] == s for k in groups[r])]
-            exact = [r for r in own if any(h.startswith(g) for m in groups[r] for h in {people[m][2]})]
-            hits = exact if len(exact) == 1 else own if len(own) == 1 else hits
-        if len(hits) == 1:
-            root[find(i)] = find(hits[0])
-        else:
-            k = (s, g[:1], len(hits) > 1)
-            if k in left:
-                root[find(i)] = find(left[k])
-            else:
-                left[k] = i
-    return [find(i) for i in range(n)]
-
-
-#: Learning short forms: surnames with more given names than this say nothing about them; least number of surnames that share a pair; least share of the short form's surnames.
-LEARN_MOST, LEARN_LEAST, LEARN_SHARE = 12, 2, 0.5
-
-
-def learned_forms(people: DataFrame, full: frozenset[str]) -> list[tuple[str, str]]:
-    """Pairs of given names that stand for each other though no list says so: one stands beside the other under several surnames, and mostly beside that one.
-
-    people: (cluster, form, rest). full: listed full forms, which are no short forms of others. The result has at most as many rows as there are given names.
+    record = lambda s, g: F.concat_ws(".", s, g)
+    formed = full.join(canon, "g")
+    x = formed.join(near.where("slip <= 2").select(F.col("a").alias("s"), F.col("b").alias("t")), "s")
+    y = formed.select(F.col("s").alias("t"), F.col("g").alias("h"), "f")
+    alike = x.join(y, ["t", "f"]).select(record("s", "g").alias("a"), record("t", "h").alias("b"))
+    typo = given.where((F.col("slip") > 0) & (F.least(F.length("a"), F.length("b")) >= 3)).select(F.col("a").alias("g"), F.col("b").alias("h"), F.col("slip").alias("k"))
+    mark = listed.withColumn("_l", F.lit(1))
+    typo = typo.join(mark, "g", "left").join(mark.select(F.col("g").alias("h"), F.col("_l").alias("_m")), "h", "left")
+    typo = typo.where(((F.col("k") == 1) & (F.col("_l").isNull() | F.col("_m").isNull())) | ((F.col("k") == 2) & F.col("_l").isNull() & F.col("_m").isNull() & (F.least(F.length("g"), F.length("h")) >= 6)))
+    z = full.join(typo.select("g", "h", "k"), "g").join(near.select(F.col("a").alias("s"), F.col("b").alias("t"), "slip"), "s")
+    z = z.where((F.col("slip") == 0) | (F.col("k") == 1) & (F.col("slip") <= 1))
+    erred = z.join(full.select(F.col("s").alias("t"), F.col("g").alias("h")), ["t", "h"], "left_semi").select(record("s", "g").alias("a"), record("t", "h").alias("b"))
+    return alike.unionByName(erred).where("a < b").distinct().select(F.lit("person").alias("block"), "a", "b")
+
+
+def placed(rest: DataFrame, full: DataFrame, near: DataFrame, canon: DataFrame) -> DataFrame:
+    """(s, form, g, entity) of the records without a full given name: distinct (s, form, g), form short, initial or none.
+
+    full: (s, g, entity). A record joins the only entity whose given names begin like its own (a lone surname: the only entity of its stem and the neighbouring ones). If it fits several: the only one that fits
+    of its own stem, first by given names as they stand. Else it stays with those of its stem and first letter. Entities are looked up by (stem, start of a given
+    name); of each only the least and the greatest is kept, which tells none, one or several apart, so a surname with many given names costs a row a name.
     """
-    g = people.where("form = 'full'").select("cluster", F.col("rest").alias("g")).distinct()
-    few = g.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).where((F.col("k") > 1) & (F.col("k") <= LEARN_MOST)).select("cluster")
-    g = g.join(few, "cluster", "left_semi")
-    alone = g.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    pairs = g.join(g.withColumnRenamed("g", "h"), "cluster").where("g <> h").groupBy("g", "h").agg(F.count(F.lit(1)).alias("k"))
-    pairs = pairs.where(F.col("k") >= LEARN_LEAST).join(alone, "g").join(alone.select(F.col("g").alias("h"), F.col("n").alias("m")), "h")
-    total = F.broadcast(g.agg(F.count_distinct("cluster").alias("t")))  # one row
-    pairs = pairs.crossJoin(total).where((F.col("k") >= LEARN_SHARE * F.col("n")) & (F.col("k") * F.col("t") >= 4 * F.col("n") * F.col("m")))
-    return [(r["g"], r["h"]) for r in pairs.select("g", "h").collect() if r["g"] not in full]
+    starts = full.join(canon, "g").select("s", "entity", F.col("f").alias("name"), (F.col("f") == F.col("g")).alias("own"))
+    starts = starts.select("s", "entity", "own", F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda n: F.substring("name", F.lit(1), n))).alias("p"))
+    lo, hi = (lambda c: F.min(c)), (lambda c: F.max(c))
+    direct = F.when(F.col("own"), F.col("entity"))
+    index = starts.groupBy("s", "p").agg(lo("entity").alias("lo"), hi("entity").alias("hi"), lo(direct).alias("own_lo"), hi(direct).alias("own_hi"))
+    # Abbreviations of three letters or more may hold one typing error.
+    words = rest.where("form = 'short' and length(g) > 2").select(F.col("g").alias("stem")).distinct()
+    heads = starts.where(F.length("p") > 2).select(F.col("p").alias("stem")).distinct()
+    none = F.array().cast("array<int>")
+    keyed = lambda df, name: _keyed(df.select(F.lit("").alias("block"), "stem", none.alias("d")), deletions, name)
+    met = keyed(words, "a").join(keyed(heads, "b"), ["block", "key"]).where((F.col("a") != F.col("b")) & (F.length("a") == F.length("b"))).select("block", "a", "b").distinct()
+    odd = _slips(met).where("slip <= 1").select(F.col("a").alias("g"), F.col("b").alias("p"))
+    asked = rest.select("g").distinct().select("g", F.col("g").alias("p")).unionByName(odd)
+    x = rest.join(near.where("slip <= 2").select(F.col("a").alias("s"), F.col("b").alias("t")), "s").join(asked, "g")
+    x = x.join(index.withColumnRenamed("s", "t"), ["t", "p"])
+    same = F.col("t") == F.col("s")
+    exact = same & (F.col("p") == F.col("g"))
+    k = x.groupBy("s", "form", "g").agg(
+        F.min("lo").alias("a_lo"), F.max("hi").alias("a_hi"), F.min(F.when(same, F.col("lo"))).alias("b_lo"), F.max(F.when(same, F.col("hi"))).alias("b_hi"),
+        F.min(F.when(exact, F.col("own_lo"))).alias("c_lo"), F.max(F.when(exact, F.col("own_hi"))).alias("c_hi"),
+    )
+    only = lambda c: F.when(F.col(f"{c}_lo") == F.col(f"{c}_hi"), F.col(f"{c}_lo"))
+    named = F.col("form") != "none"
+    hit = F.coalesce(only("a"), F.when(named, only("c")), F.when(named, only("b")))
+    alone = F.concat_ws("|", F.lit("person~"), "s", F.substring("g", 1, 1), F.when(F.col("a_lo").isNotNull(), "several").otherwise("none"))
+    return rest.join(k, ["s", "form", "g"], "left").select("s", "form", "g", F.coalesce(hit, alone).alias("entity"))
 
 
 def entities(nodes: DataFrame, name_forms: DataFrame) -> DataFrame:
-    """(id, entity): one row an entity node (id, name, kind), with the class it belongs to."""
+    """(id, entity): one row an entity node (id, name, kind), with the class it belongs to. Names that are null, or have no letters, are in none."""
     rows = [(ascii_fold(r["form"]), ascii_fold(r["full_form"])) for r in name_forms.select("form", "full_form").collect() if r["form"] and r["full_form"]]  # a fixed list
-    forms: dict[str, set[str]] = {}
-    for short, full in rows:
-        forms.setdefault(short, {short}).add(full)
-        forms.setdefault(full, {full})
-    known = frozenset(forms)
-    p = materialize(parsed(nodes, known).where("stem <> ''"), "names")
+    spark = nodes.sparkSession
+    p = materialize(parsed(nodes, frozenset(x for r in rows for x in r)).where("stem <> ''"), "names")
     p = p.withColumn("block", F.when(F.col("kind") == "org", F.concat(F.lit("org."), F.col("rest"))).otherwise(F.lit("person")))
-    stems = p.select("block", "stem").distinct()
-    clusters = components(stems, stem_links(stems))
-    p = p.join(clusters, ["block", "stem"])
-    orgs = p.where("kind = 'org'").select("id", F.concat_ws("|", "block", "cluster").alias("entity"))
-    # Equal (surname, form, given) are one row here, so a group has as many rows as there are different spellings around one surname.
-    distinct = materialize(p.where("kind = 'person'").select("cluster", "stem", "form", "rest").distinct(), "people")
-    for short, full in learned_forms(distinct, frozenset(f for _, f in rows)):
-        forms.setdefault(short, {short}).update(forms.get(full, {full}))
-        forms.setdefault(full, {full})
-    frozen = {k: frozenset(v) for k, v in forms.items()}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        people = sorted(zip(pdf["stem"], pdf["form"], pdf["rest"]))
-        groups = resolve(people, frozen)
-        c = pdf["cluster"].iloc[0]
-        out = [(s, f, g, f"person|{c}|{'.'.join(people[k])}") for (s, f, g), k in zip(people, groups)]
-        return pd.DataFrame(out, columns=["stem", "form", "rest", "entity"])
-
-    named = distinct.groupBy("cluster").applyInPandas(run, "stem string, form string, rest string, entity string")
-    persons = p.where("kind = 'person'").join(named, ["stem", "form", "rest"]).select("id", "entity")
-    return orgs.unionByName(persons)
+    persons = materialize(p.where("kind = 'person'").groupBy(F.col("stem").alias("s"), "form", F.col("rest").alias("g")).agg(F.count(F.lit(1)).alias("n")), "people")
+    full = persons.where("form = 'full'").select("s", "g")
+    # Surnames, organisations' stems and given names are three kinds of blocks of one join.
+    stems = p.groupBy("block", "stem").agg(F.count(F.lit(1)).alias("n"))
+    links = materialize(stem_links(stems.select("block", "stem").unionByName(full.select(F.lit("given").alias("block"), F.col("g").alias("stem")).distinct())), "stem-links")
+    near = _near(links, "person", persons.select(F.col("s").alias("stem")).distinct())
+    given = _near(links, "given", full.select(F.col("g").alias("stem")).limit(0))
+
+    pairs = spark.createDataFrame(rows, "short string, full string")
+    listed_full = pairs.select(F.col("full").alias("g")).distinct()
+    # A surname and its rarer misspellings are one surname here: each stem counts as the most frequent of its neighbours.
+    often = stems.where("block = 'person'").select(F.col("stem").alias("b"), "n")
+    lead = near.join(often, "b").groupBy(F.col("a").alias("s")).agg(F.max_by("b", F.struct("n", "b")).alias("surname"))
+    learned = materialize(learned_forms(full.join(lead, "s").select("surname", "g").distinct(), listed_full), "forms")
+    forms = pairs.unionByName(learned).distinct()
+    # A learned short form stands for what its partner stands for, too.
+    further = learned.join(pairs.select(F.col("short").alias("full"), F.col("full").alias("f")), "full").select("short", F.col("f").alias("full"))
+    vocabulary = full.select("g").distinct()
+    canon = materialize(vocabulary.select("g", F.col("g").alias("f")).unionByName(forms.unionByName(further).select(F.col("short").alias("g"), F.col("full").alias("f"))).distinct(), "canon")
+    listed = forms.select(F.col("short").alias("g")).unionByName(forms.select(F.col("full").alias("g"))).distinct()
+
+    # A short stem of an organisation, which no given name confirms, only joins a stem that stands at least twice as often.
+    org = links.where(F.col("block").startswith("org."))
+    n = stems.select("block", F.col("stem").alias("a"), F.col("n").alias("n_a"))
+    org = org.join(n, ["block", "a"]).join(n.select("block", F.col("a").alias("b"), F.col("n_a").alias("n_b")), ["block", "b"])
+    org = org.where((F.least(F.length("a"), F.length("b")) >= LONG) | (F.greatest("n_a", "n_b") >= 2 * F.least("n_a", "n_b"))).select("block", "a", "b")
+    classes = components(same_person(full, near, canon, given, listed).unionByName(org))
+
+    orgs = p.where("kind = 'org'").join(classes, ["block", "stem"], "left").select("id", F.concat_ws("|", "block", F.coalesce("cluster", "stem")).alias("entity"))
+    mine = classes.where("block = 'person'").select(F.col("stem").alias("r"), "cluster")
+    whole = full.withColumn("r", F.concat_ws(".", "s", "g")).join(mine, "r", "left").select("s", "g", F.concat_ws("|", F.lit("person"), F.coalesce("cluster", "r")).alias("entity"))
+    whole = materialize(whole, "whole")
+    others = placed(persons.where("form <> 'full'").select("s", "form", "g"), whole, near, canon)
+    every = whole.select("s", F.lit("full").alias("form"), "g", "entity").unionByName(others)
+    people = p.where("kind = 'person'").select("id", F.col("stem").alias("s"), "form", F.col("rest").alias("g"))
+    return orgs.unionByName(people.join(every, ["s", "form", "g"]).select("id", "entity"))
 
 
 def linked_pairs(nodes: DataFrame, name_forms: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: every pair of nodes of one entity."""
+    """(id_a, id_b), id_a < id_b: every pair of nodes of one entity. An entity with many nodes is cut into shards (skew_join); entities() gives the classes without the pairs."""
     e = materialize(entities(nodes, name_forms), "entities")
     a, b = e.select(F.col("id").alias("id_a"), "entity"), e.select(F.col("id").alias("id_b"), "entity")
-    return a.join(b, "entity").where("id_a < id_b").select("id_a", "id_b")
+    return skew_join(a, b, ["entity"], ["id_a"]).where("id_a < id_b").select("id_a", "id_b")

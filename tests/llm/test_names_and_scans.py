@@ -41,6 +41,46 @@ def test_stem_join_is_exact(spark):
     assert got == want and want
 
 
+def test_short_stems_join_within_one_slip(spark):
+    rnd = random.Random(6)
+    stems = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 9))) for _ in range(200)}
+    got = {(r["a"], r["b"]): r["slip"] for r in names.stem_links(spark.createDataFrame([("p", s) for s in stems], "block string, stem string")).collect()}
+
+    def near(a, b):
+        least = min(len(a), len(b))
+        return names.edit_distance(a, b) <= 2 if least >= names.LONG else least >= names.SHORTEST and names.slipped(a, b) <= 1
+
+    want = {(a, b): names.slipped(a, b) for a in stems for b in stems if a < b and near(a, b)}
+    assert got == want and want
+
+
+def test_short_surnames(spark):
+    rows = [(1, "Peter Smith"), (1, "Peter Smiht"), (1, "Smith, Peter"), (2, "Anna Meier"), (2, "Anna Maier"), (3, "Ole Lund"), (4, "Ole Berg"), (5, "Robert Smith"), (5, "Bob Smith"), (6, "Eva Li"), (7, "Eva Lu")]
+    assert links(spark, [("person", n) for _, n in rows]) == groups(rows)
+    orgs = [(1, "Acme Shipping"), (1, "Acme Shpg"), (1, "Amce Shipping"), (2, "Acme Logistics"), (3, "Orla Shipping"), (4, "Orka Shipping")]
+    assert links(spark, [("org", n) for _, n in orgs]) == groups(orgs)
+
+
+def test_hot_surname(spark):
+    """Many people of one surname: initials that fit several stay apart from all, forms are learned although the surname has many given names, and a chain of misspellings ends."""
+    rnd = random.Random(9)
+    given = sorted({"".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(400)})
+    far = []
+    for g in given:  # no two within two slips, so that they are different people
+        if all(names.slipped(g, h) > 2 for h in far):
+            far.append(g)
+    rows = [(i, f"{g.title()} Kudnoukmoumkik") for i, g in enumerate(far)] + [(i, f"KUDNOUKMOUMKIK, {g.title()}") for i, g in enumerate(far)]
+    rows += [(1000, f"{far[0][:1].upper()}. Kudnoukmoumkik"), (1000, f"{far[0][:1].upper()} Kudnoukmoumkik")]
+    for k, s in enumerate(["Bauklitborfaud", "Danmetkourbus", "Rilgotfempaus"]):  # Zy is learned for Zyprian
+        rows += [(2000 + k, f"Zyprian {s}"), (2000 + k, f"Zyx {s}")]
+    rows += [(3000, "Zyprian Kudnoukmoumkik"), (3000, "Zyx Kudnoukmoumkik")]
+    rows += [(4000 + i, f"Wolfhart {a}{b}") for i, (a, b) in enumerate((a, b) for a in ("Grumpel", "Tosvak", "Henlitz") for b in ("bardonik", "wessimaul", "furtequent", "jollisam", "zampodrek"))]
+    assert sum(g[0] == far[0][0] for g in far) > 1
+    assert links(spark, [("person", n) for _, n in rows]) == groups(rows)
+    chain = spark.createDataFrame([("p", f"{i:03d}", f"{i + 1:03d}") for i in range(120)], "block string, a string, b string")
+    assert {r["cluster"] for r in names.components(chain).collect()} == {"000"}
+
+
 def test_no_names(spark):
     assert links(spark, []) == []
 
