@@ -3,18 +3,20 @@
 An unknown code-page swap is a substitution cipher: a symbol (one character, or the run of characters that a multi-byte character
 turned into) stands for one letter. Per source, expectation-maximization learns for each symbol which letter it stands for,
 from the characters around it and a bigram model of the corpus; symbols that stand for themselves are ordinary text. A place is
-garbled where the learned letter differs from the symbol with high posterior. Code pages only propose candidate letters; U+FFFD, whose original is
-lost, may stand for any frequent letter.
+garbled where the learned letter differs from the symbol with high posterior. Code pages propose letters; a swap of pages that aren't listed is learned all the same: any letter of the language
+model may be the one where no proposed one is, and is if the symbol's contexts in the source, taken together, speak for it (SPEAKS). U+FFFD, whose original is
+lost, may stand for any letter.
 
 Steps: (1) one pass counts (source, symbol, neighbours), combined in each task; (2) the bigram model is summed over all sources,
-a table bounded by the alphabet; (3) EM runs source by source on those counts, whose number is bounded by the alphabet
-too; (4) a second pass emits the places that some source garbles, joins them with their own source's decisions, and rebuilds the affected rows.
+a table bounded by the alphabet; (3) EM runs on those counts, symbol by symbol of each source, so that no source, however large, is one task; (4) a second pass emits
+the places that may be garbled (a bitmap of fixed size tells which can't), joins them with their own source's decisions, and rebuilds the affected rows.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +29,11 @@ from ..session import broadcast_if_small, materialize, spread
 
 # The code pages that propose candidate letters.
 PAGES = ("cp1252", "latin-1", "mac_roman", "cp1250", "cp1251", "cp437", "cp850", "iso8859_2", "cp866", "koi8_r")
-#: Largest number of (symbol, left, right) places that the second pass carries as a set; beyond it it goes by symbol alone, which emits more rows for the join but finds the same.
-PLACES = 500_000
+#: Bits of the bitmap of decided places that the second pass carries, whatever the size of the data: of a place whose bit isn't set nothing is emitted, the join decides on the others.
+BITS = 1 << 24
 ROUNDS = 6
+#: For letters that no code page proposes: the least log-likelihood ratio over all contexts of the symbol in its source that one must reach against the symbol itself, and the least share of them where it fits better.
+SPEAKS, MOSTLY = 15.0, 0.7
 #: Posterior from which on a place counts as garbled.
 SURE = 0.9
 LOST = "�"
@@ -52,6 +56,8 @@ BYTE_OF = _byte_of()
 CHAR_OF = {page: {v: k for k, v in m.items() if not ("\x80" <= k <= "\x9f") or v not in [m[x] for x in m if x > "\x9f"]} for page, m in BYTE_OF.items()}
 REPERTOIRE = frozenset(c for m in BYTE_OF.values() for c in m)
 LETTERS = REPERTOIRE - {chr(b) for b in range(0x80, 0xA0)}
+#: What is looked at one by one: characters of the code pages, and Latin, Greek and Cyrillic letters, which pages that aren't listed may show.
+SYMBOLS = REPERTOIRE | {chr(o) for o in range(0xAA, 0x530) if chr(o).isalpha()}
 _LEAD = "".join(sorted({c for m in BYTE_OF.values() for c, b in m.items() if "\xc2" <= b <= "\xf4"}))
 _TRAIL = "".join(sorted({c for m in BYTE_OF.values() for c, b in m.items() if "\x80" <= b <= "\xbf"}))
 MAYBE = re.compile(f"[{re.escape(_LEAD)}][{re.escape(_TRAIL)}]")
@@ -168,7 +174,7 @@ def places(text: str, memo: dict[str, list[tuple[str, str]]]) -> Iterator[tuple[
         a, b = m.span()
         if b - a == 1:
             c = m.group()
-            if c in REPERTOIRE or c == LOST:
+            if c in SYMBOLS or c == LOST:
                 left, right = text[a - 1] if a else "", text[b] if b < n else ""
                 if left == right == " " and spaced(text, a):
                     left, right = text[a - 2], text[b + 1]
@@ -185,7 +191,7 @@ def places(text: str, memo: dict[str, list[tuple[str, str]]]) -> Iterator[tuple[
         at = a
         for i, (sym, char) in enumerate(us):
             end = at + len(sym)
-            if len(sym) > 1 or char in REPERTOIRE or char == LOST:
+            if len(sym) > 1 or char in SYMBOLS or char == LOST:
                 left = us[i - 1][1] if i else (text[a - 1] if a else "")
                 right = us[i + 1][1] if i + 1 < len(us) else (text[b] if b < n else "")
                 yield at, end, sym, char, left, right
@@ -270,8 +276,12 @@ class BigramModel:
         k = 20 + 0.02 * self.n[e]
         return (side[c] + k * base) / (self.n[e] + k)
 
-    def frequent(self, least: int) -> list[str]:
-        return [e for e, n in self.n.items() if n >= least and len(e) == 1 and e in LETTERS]
+    def letters(self) -> list[str]:
+        """The letters of clean texts, in a fixed order."""
+        return sorted(e for e in self.n if len(e) == 1 and e in SYMBOLS and not "\x80" <= e <= "\x9f")
+
+    def sides(self, e: str, contexts: list[str], right: bool) -> np.ndarray:
+        return np.array([self.side(e, c, right) for c in contexts])
 
 
 def language_model(counts: DataFrame) -> BigramModel:
@@ -281,15 +291,14 @@ def language_model(counts: DataFrame) -> BigramModel:
     return BigramModel([(r["sym"], r["s"], r["c"], r["n"]) for r in both.groupBy("sym", "x.s", "x.c").agg(F.sum("n").alias("n")).collect()])
 
 
-def candidates(sym: str, char: str, lm: BigramModel, frequent: list[str]) -> dict[str, float]:
-    """Letters that a symbol may stand for, with prior weights; the symbol itself is among them unless it can't be text."""
+def candidates(sym: str, char: str, lm: BigramModel, letters: list[str]) -> dict[str, float]:
+    """Letters that a symbol may stand for, with prior weights; the symbol itself is among them unless it can't be text. letters: those of the language model."""
     if sym.startswith("*"):
         return {sym: 1.0}
     if sym == LOST or char == LOST:
-        return {e: 1.0 for e in frequent} or {LOST: 1.0}
+        return {e: 1.0 for e in letters} or {LOST: 1.0}
     if len(sym) > 1:
-        out = {char: 1.0, sym: 1.0}
-        return out
+        return {char: 1.0, sym: 1.0}
     control = "\x80" <= sym <= "\x9f"
     out = {sym: 1e-6 if control else 1.0}
     for wrong in PAGES:
@@ -298,86 +307,131 @@ def candidates(sym: str, char: str, lm: BigramModel, frequent: list[str]) -> dic
             continue
         for true in PAGES:
             e = CHAR_OF[true].get(b)
-            if e is not None and e != sym and e in LETTERS and lm.n[e] >= 5:
+            if e is not None and e != sym and e in LETTERS and lm.n[e] > 0:
                 out[e] = 0.002
     return out
 
 
-def learn(ctx: pd.DataFrame, lm: BigramModel) -> pd.DataFrame:
-    """EM over the counted contexts of one source: the decisions (sym, l, r) -> letter that differ from the symbol."""
-    frequent = sorted(lm.frequent(50), key=lambda e: -lm.n[e])[:60]
-    out = []
-    for (sym, char), g in ctx.groupby(["sym", "char"], sort=False):
-        cand = candidates(sym, char, lm, frequent)
-        letters = list(cand)
-        ls, rs, n = g["l"].tolist(), g["r"].tolist(), g["n"].to_numpy(float)
-        if sym.startswith("*") or sym == LOST and letters == [LOST]:
-            out += [(sym, a, b, sym if sym == LOST else "", 1.0) for a, b in zip(ls, rs)]
-            continue
-        like = np.empty((len(letters), len(n)))
-        for i, e in enumerate(letters):
-            if len(e) > 1:  # the symbol read as it stands, one character after the other
-                mid = 1.0
-                for x, y in zip(e, e[1:]):
-                    mid *= lm.letter(y) * min(1.0, lm.side(x, neighbour(y), True) * 4)
-                like[i] = [lm.side(e[0], a, False) * lm.side(e[-1], b, True) * mid * lm.letter(e[0]) for a, b in zip(ls, rs)]
-            else:
-                like[i] = [lm.side(e, a, False) * lm.side(e, b, True) for a, b in zip(ls, rs)]
-        prior = np.array([cand[e] * (1.0 if len(e) > 1 else lm.letter(e)) for e in letters])
-        prior = np.maximum(prior, 1e-300)
-        theta = prior / prior.sum()
-        for _ in range(ROUNDS):
-            q = like * theta[:, None]
-            q /= np.maximum(q.sum(0), 1e-300)
-            theta = (q * n).sum(1) + 2 * prior / prior.sum()
-            theta /= theta.sum()
+def learn(sym: str, char: str, ls: list[str], rs: list[str], n: np.ndarray, lm: BigramModel, letters: list[str]) -> list[tuple[str, str, str, str, float]]:
+    """EM over the counted contexts (left, right, times) of one symbol in one source: the decisions (sym, l, r, letter, p) where the letter isn't the symbol."""
+    cand = candidates(sym, char, lm, letters)
+    names = list(cand)
+    if sym.startswith("*") or sym == LOST and names == [LOST]:
+        return [(sym, a, b, sym if sym == LOST else "", 1.0) for a, b in zip(ls, rs)]
+    left, right = sorted(set(ls)), sorted(set(rs))
+    at_l, at_r = np.array([left.index(x) for x in ls]), np.array([right.index(x) for x in rs])
+
+    def fit(e: str) -> np.ndarray:
+        mid = 1.0
+        if len(e) > 1:  # the symbol read as it stands, one character after the other
+            for x, y in zip(e, e[1:]):
+                mid *= lm.letter(y) * min(1.0, lm.side(x, neighbour(y), True) * 4)
+            mid *= lm.letter(e[0])
+        return lm.sides(e[0], left, False)[at_l] * lm.sides(e[-1], right, True)[at_r] * mid
+
+    like = np.array([fit(e) for e in names])
+    prior = np.array([cand[e] * (1.0 if len(e) > 1 else lm.letter(e)) for e in names])
+    prior = np.maximum(prior, 1e-300)
+    theta = prior / prior.sum()
+    for _ in range(ROUNDS):
         q = like * theta[:, None]
         q /= np.maximum(q.sum(0), 1e-300)
-        own = letters.index(sym) if sym in letters else -1
-        best = q.argmax(0)
-        wrong = 1 - (q[own] if own >= 0 else 0.0)
-        wrong = np.broadcast_to(wrong, (len(n),))
-        for j in range(len(n)):
-            if wrong[j] >= SURE and best[j] != own:
-                e = letters[best[j]]
-                out.append((sym, ls[j], rs[j], LOST if sym == LOST and q[best[j], j] < 0.5 else e, float(wrong[j])))
-    return pd.DataFrame(out, columns=["sym", "l", "r", "letter", "p"])
+        theta = (q * n).sum(1) + 2 * prior / prior.sum()
+        theta /= theta.sum()
+    q = like * theta[:, None]
+    q /= np.maximum(q.sum(0), 1e-300)
+    own = names.index(sym) if sym in cand else -1
+    best = q.argmax(0)
+    wrong = np.broadcast_to(1 - (q[own] if own >= 0 else 0.0), (len(n),))
+    out = []
+    for j in np.flatnonzero((wrong >= SURE) & (best != own)):
+        e = names[best[j]]
+        out.append((sym, ls[j], rs[j], LOST if sym == LOST and q[best[j], j] < 0.5 else e, float(wrong[j])))
+    if out or len(sym) > 1 or own < 0 or not sym.isalpha():
+        return out
+    free = [e for e in letters if e.isalpha() and e not in cand]
+    if not free:
+        return out
+    ratio = np.array([np.log(fit(e)) for e in free]) - np.log(like[own])
+    total = (ratio * n).sum(1)
+    e = int(total.argmax())
+    if total[e] >= SPEAKS and ((ratio[e] > 0) * n).sum() >= MOSTLY * n.sum():
+        out = [(sym, a, b, free[e], 1 - float(np.exp(-x))) for a, b, x in zip(ls, rs, ratio[e]) if x >= -np.log(1 - SURE)]
+    return out
 
 
 def decisions(counts: DataFrame) -> DataFrame:
     """(source, sym, l, r, letter, p): what each source's places stand for, where that isn't themselves. Letter is empty for pooled symbols (their own proposal holds)."""
     shared = counts.sparkSession.sparkContext.broadcast(language_model(counts))  # bounded by the alphabet
+    key = ["source", "sym", "char"]
+    sums = counts.groupBy(*key, "l", "r").agg(F.sum("n").alias("n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lm = shared.value
+        letters = lm.letters()
+        held: list[tuple] = []  # the contexts of the symbol that is being read: at most as many as there are pairs of neighbours
+        at = None
+
+        def decide() -> list[tuple]:
+            if at is None:
+                return []
+            ls, rs, n = zip(*held)
+            return [(at[0], *d) for d in learn(at[1], at[2], list(ls), list(rs), np.array(n, dtype=float), lm, letters)]
+
+        cols = ["source", "sym", "l", "r", "letter", "p"]
+        for pdf in batches:
+            out = []
+            for src, sym, char, a, b, n in pdf.itertuples(index=False, name=None):
+                if (src, sym, char) != at:
+                    out += decide()
+                    at, held = (src, sym, char), []
+                held.append((a, b, n))
+            yield pd.DataFrame(out, columns=cols)
+        yield pd.DataFrame(decide(), columns=cols)
+
+    sorted_ = sums.select(*key, "l", "r", "n").repartition(*key).sortWithinPartitions(*key, "l", "r")
+    return sorted_.mapInPandas(run, "source long, sym string, l string, r string, letter string, p double")
+
+
+def _place_key(src, sym: str, left: str, right: str) -> int:
+    return zlib.crc32(f"{src}\x1f{sym}\x1f{left}\x1f{right}".encode()) % BITS
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = learn(pdf.groupby(["sym", "char", "l", "r"], as_index=False)["n"].sum(), shared.value)
-        out.insert(0, "source", key[0])
-        return out
 
-    return counts.groupBy("source").applyInPandas(run, "source long, sym string, l string, r string, letter string, p double")
+def _bitmap(decided: DataFrame) -> bytes:
+    """One bit for each decided place: BITS / 8 bytes, put together in the tasks."""
+    at = F.crc32(F.encode(F.concat_ws("\x1f", F.col("source").cast("string"), "sym", "l", "r"), "UTF-8")) % BITS + 1  # bitmaps number from 1
+    maps = decided.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = bytearray(BITS // 8 + 4096)
+    for r in maps.collect():  # at most BITS / 32,768 rows of 4 kB
+        start = (r["bucket"] - 1) * 4096
+        out[start : start + 4096] = r["bits"]
+    return bytes(out)
 
 
 def garbled_places(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """(tbl, row_id, start, end, letter) of every garbled place. rows: tbl, row_id, source, text; decided: decisions()."""
-    sc = rows.sparkSession.sparkContext
-    keys = decided.select("sym", "l", "r").distinct()
-    n = keys.count()
-    by_place = n <= PLACES
-    wanted = sc.broadcast(frozenset((r[0], r[1], r[2]) for r in keys.collect()) if by_place else frozenset(r[0] for r in keys.select("sym").distinct().collect()))
+    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(decided))  # of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
-        want = wanted.value
-        syms = frozenset(w[0] for w in want) if by_place else want
+        bits = bitmap.value
+        may: dict[tuple, bool] = {}
         for pdf in batches:
             out = []
             for tbl, row, src, text in zip(pdf["tbl"], pdf["row_id"], pdf["source"], pdf["text"]):
                 if text and not text.isascii():
                     for a, b, sym, char, left, right in places(text, memo):
-                        key = sym if b - a == 1 else symbol_key(sym, char)[0]
-                        if key in syms:
-                            x, y = neighbour(left), neighbour(right)
-                            if not by_place or (key, x, y) in want:
-                                out.append((tbl, row, src, a, b, key, x, y, char))
+                        sym = sym if b - a == 1 else symbol_key(sym, char)[0]
+                        k = (src, sym, neighbour(left), neighbour(right))
+                        ok = may.get(k)
+                        if ok is None:
+                            h = _place_key(*k)
+                            ok = bits[h >> 3] >> (h & 7) & 1 == 1
+                            if len(may) > 300_000:
+                                may.clear()
+                            may[k] = ok
+                        if ok:
+                            out.append((tbl, row, src, a, b, *k[1:], char))
             yield pd.DataFrame(out, columns=["tbl", "row_id", "source", "start", "end", "sym", "l", "r", "char"])
 
     spots = spread(rows.select("tbl", "row_id", "source", "text")).mapInPandas(run, "tbl string, row_id long, source long, start int, end int, sym string, l string, r string, char string")
