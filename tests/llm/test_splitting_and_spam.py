@@ -27,6 +27,29 @@ def test_lines_and_headings():
     assert rows[-1][2] == 11 + text.count("\n")
 
 
+def test_boundaries():
+    """No piece ends with a heading that something follows, none holds parts of two sections, sentences and items are cut only where they don't fit."""
+    rnd = random.Random(11)
+    say = lambda n: " ".join(f"Sentence {i} costs 3.14 units, e.g. for the {rnd.choice(NOUNS)}." for i in range(n))
+    md = "# Top\n\n" + "".join(f"## Part {i}\n\n{say(rnd.randrange(1, 60))}\n\n### Detail {i}\n\n{say(rnd.randrange(1, 9))}\n\n" for i in range(30))
+    heads = splitting.headings(md)
+    for a, b, new in splitting.split_text(md):
+        assert not any(h[1] == b for h in heads)
+        inside = [h[0] for h in heads if new < h[0] < b and h[2] <= 2]
+        own = max((h[0] for h in heads if h[0] <= new and h[2] <= 2), default=0)
+        assert not inside or own >= new - 1 or own == 0 or md[new:b].lstrip().startswith("#")
+        assert b == len(md) or md[:b].rstrip()[-1] in ".:", md[b - 30 : b]
+    html = "<h1>Top</h1>\n" + "".join(f"<h2>Part {i}</h2>\n<ul>" + "".join(f"<li>{say(2)}</li>" for _ in range(20)) + "</ul>\n" for i in range(6))
+    cut = [b for _, b, _ in splitting.split_text(html)][:-1]
+    assert cut and all(html[:b].rstrip().endswith(("</li>", "</ul>", "</h1>")) for b in cut) and [h[3] for h in splitting.headings(html)][1] == "Part 0"
+    lists = "".join(f"- item {i}\n" + "".join(f"  - below {i} {k} {say(1)}\n" for k in range(12)) for i in range(8))
+    assert all(lists[b:].lstrip("\n ").startswith("- ") for _, b, _ in splitting.split_text(lists)[:-1])
+    under = "Title\n=====\n" + say(10) + "\n\nSecond\n------\n" + say(10) + "\n\n```\n# no heading\n```\n\n" + say(40)
+    assert [h[2:] for h in splitting.headings(under)] == [(1, "Title"), (2, "Second")]
+    data = '{"a":1,' + ",".join(f'"key{i}":{i * 37}' for i in range(900)) + "}"
+    assert all(data[b - 1] == "," for _, b, _ in splitting.split_text(data)[:-1])
+
+
 def test_split_table(spark):
     rows = [(1, "x" * 2000, "h", 1, "clash"), (2, "y" * 2001, None, None, "clash"), (3, None, "h", 1, None), (4, "", "h", 1, None), (5, "word " * 900, "h", 3, None), (5, "word " * 900, "h", 3, None)]
     df = spark.createDataFrame(rows, "id long, text string, heading string, start_line int, piece string")
