@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize, spread
 
-ROUNDS = 2
+ROUNDS = 3
 #: Score from which on a pattern vouches for its candidates, and least number of different instances behind it.
 TRUST, SUPPORT = 0.5, 3
-#: The same for numbers, whose seeds are only the shapes that need no context.
+#: The same for numbers, addresses and mail addresses, whose seeds are only the shapes that need no context.
 TRUST_NUMBER = 0.2
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 
@@ -47,11 +47,13 @@ _ES = "Calle|C/|C\\.|Cl\\.|Avenida|Avda\\.?|Av\\.|Plaza|Pl\\.|Pza\\.|Paseo|P\\.
 #: A text without any of these holds no address.
 STREET_WORDS = tuple(" " + w for w in _EN.split("|")) + ("stra", "str.", "gasse", "weg ", "platz ", "allee ", "ufer ", "damm ", "ring ", "steig ", "markt ") + tuple(w.replace("\\", "") + " " for w in _FR.split("|")) + ("Calle", "C/", "C.", "Cl.", "Aven", "Av", "Plaza", "Pl.", "Pza.", "Paseo", "P.º", "Camino", "Cno.", "Ronda", "Traves", "Carretera", "Ctra.")
 ADDRESS = re.compile(
-    r"(?:(?<![\w/-])(?:(?:Flat|Unit|Apt\.?|Apartment|Suite|Room)\s\w{1,4},?\s)?\d{1,4}[A-Za-z]?\s(?:[" + _U + r"][\w'’-]*\.?\s){1,4}?(?:" + _EN + r")\b\.?(?:,\s(?:Apt|Flat|Unit|Suite)\.?\s\w{1,4})?)"
+    r"(?:(?<![\w/-])(?:(?:Flat|Unit|Apt\.?|Apartment|Suite|Room)\s\w{1,4},?\s)?\d{1,4}[A-Za-z]?\s(?:[" + _U + r"][\w'’-]*\.?\s){1,4}?(?:" + _EN + r")\b\.?(?:\s(?:" + _EN + r")\b\.?)*(?:,\s(?:Apt|Flat|Unit|Suite)\.?\s\w{1,4})?)"
     r"|(?:(?<![\w/-])\d{1,4}(?:\s?(?:bis|ter|quater))?,?\s(?:" + _FR + r")\s(?:de\sla\s|de\sl[’']|du\s|des\s|de\s|d[’'])?[" + _U + r"][\w’'-]*(?:[\s-][" + _U + r"][\w’'-]*)*)"
     r"|(?:(?<!\w)[" + _U + r"][\w-]*(?:" + _DE + r")\s\d{1,4}\s?[a-z]?(?!\w))"
     r"|(?:(?<!\w)(?:" + _ES + r")\s?(?:(?:de|del|la|las|los|el|San|Santa|de\sla|de\slos)\s)*[" + _U + r"][\w’'-]*(?:\s[" + _U + r"][\w’'-]*)*,?\s(?:n\.?\s?[ºo°]\s?)?\d{1,4}(?:,?\s\d{1,2}\.?[ºª°]\s?[A-Z]?)?)"
 )
+#: Addresses that are seeds: those that name a street as such. A word like Ring, Hill or Place with a number may be anything else.
+STREET_SEED = re.compile(r"street|\bst\b|road|\brd\b|lane|avenue|\bave\b|stra(?:ß|ss)e|str\.|gasse|allee|\brue\b|boulevard|\bbd\b|chemin|close|\brow\b|terrace|crescent|square|mews|calle|c/|avenida|avda|paseo|camino", re.I)
 PHONE = re.compile(
     r"(?<![\w.+/@#:-])(?:tel:)?("
     r"\+\d{1,3}[\s.-]?(?:\(\d{1,4}\)[\s.-]?)?\d(?:[\s./-]?\d){5,12}"
@@ -241,14 +243,15 @@ def candidates(text: str, given: frozenset[str], memo: dict, learned: frozenset[
     if EMAIL_HINT.search(text):
         for m in EMAIL.finditer(text):
             a, b = m.span()
-            out.append(("email", a, b, True, "", "", "", *context(text, a, b)))
+            s = m.group()
+            out.append(("email", a, b, any(x in s for x in "@([{") or NOT_NAMES.isdisjoint(s.casefold().replace(" at ", " ").split()), "at" if "@" in s else "marked" if s[-1] in ")]}" or "[" in s or "(" in s or "{" in s else "spelled", "", "", *context(text, a, b)))
             busy.append((a, b))
         for a, b in busy:
             mask(a, b)
     spans = []
     for m in ADDRESS.finditer(plain) if any(w in text for w in STREET_WORDS) else ():
         a, b = m.span()
-        out.append(("address", a, b, True, shape(m.group())[:12], "", "", *context(text, a, b)))
+        out.append(("address", a, b, STREET_SEED.search(m.group()) is not None, shape(m.group())[:12], "", "", *context(text, a, b)))
         spans.append((a, b))
     for a, b in spans:
         mask(a, b)
@@ -311,23 +314,43 @@ def extract(rows: DataFrame, given: frozenset[str], learned: frozenset[str] = fr
     return spread(rows.select("tbl", "row_id", "text")).mapInPandas(run, f"tbl string, row_id long, {CANDIDATE}")
 
 
+def _known(x: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """x with the columns of table (key, ...) for its key; rows whose key is '' (all kinds but names, and lone names) have none and join nothing, so they don't meet in one task."""
+    more = [c for c in table.columns if c != key]
+    named = x.where(F.col(key) != "").join(broadcast_if_small(table), key, "left")
+    return named.unionByName(x.where(F.col(key) == "").select("*", *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in more]))
+
+
+def _patterns(conf: DataFrame) -> DataFrame:
+    """(kind, side, word, trust) of the graph with conf: how much of a pattern's candidates is confirmed. Frequent instances count five times at most, so that one can't carry a pattern."""
+    n = F.least(F.col("n"), F.lit(5))
+    pair = conf.groupBy("kind", "lw", "rw").agg(F.sum(n * F.col("conf")).alias("w"), F.sum(n).alias("n"), F.count_distinct(F.when(F.col("conf") > 0.5, F.concat_ws("|", "form", "given", "surname"))).alias("k"))
+    sides = F.array(F.struct(F.lit("b").alias("side"), F.concat_ws("\x02", "lw", "rw").alias("word")), F.struct(F.lit("l").alias("side"), F.col("lw").alias("word")), F.struct(F.lit("r").alias("side"), F.col("rw").alias("word")))
+    each = pair.select("kind", F.explode(sides).alias("s"), "w", "n", "k").groupBy("kind", "s.side", "s.word").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.sum("k").alias("k"))
+    return each.where((F.col("k") >= SUPPORT) | (F.col("n") >= 10)).select("kind", "side", "word", (F.col("w") / (F.col("n") + 0.5)).alias("trust"))
+
+
+def _trusted(x: DataFrame, patterns: DataFrame) -> DataFrame:
+    """x with t_l and trust: the trust of the pattern on the left, and of both sides: of the pair as such, else the mean of the two."""
+    pick = lambda side, name: broadcast_if_small(patterns.where(F.col("side") == side).select("kind", F.col("word").alias(name), F.col("trust").alias(f"t_{side}")))
+    x = x.withColumn("bw", F.concat_ws("\x02", "lw", "rw"))
+    x = x.join(pick("b", "bw"), ["kind", "bw"], "left").join(pick("l", "lw"), ["kind", "lw"], "left").join(pick("r", "rw"), ["kind", "rw"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return x.withColumn("trust", F.greatest(zero("t_b"), F.sqrt(zero("t_l") * zero("t_r")))).withColumn("t_l", zero("t_l")).drop("bw", "t_b", "t_r")
+
+
 def score(cands: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores of patterns (kind, side, word, trust), of surnames and of given names.
 
-    The graph is the table of distinct (kind, instance, pattern) with counts; names repeat, so it is far smaller than the
-    candidates. Each round: patterns from the instances' confidence; surnames and given names from patterns and each other.
+    The graph is the table of distinct (kind, instance, pattern) with counts; instances repeat, so it is far smaller than the
+    candidates. Each round, written to the shared folder: patterns from the instances' confidence; surnames and given names from patterns and each other; then the confidence of every
+    instance in its pattern anew: names by what is known of their parts, numbers, addresses and mail addresses by their seeds and by the patterns that they stand in.
     """
     graph = cands.groupBy("kind", "form", "given", "surname", "lw", "rw").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
     graph = materialize(graph, "pii-graph")
     conf = graph.withColumn("conf", F.col("seed").cast("double"))
-    surnames = givens = patterns = None
     for r in range(rounds):
-        # different (given, surname) or number shapes with weights damped, so that one frequent instance can't carry a pattern
-        pair = conf.groupBy("kind", "lw", "rw").agg(F.sum(F.least(F.col("n"), F.lit(5)) * F.col("conf")).alias("w"), F.sum(F.least(F.col("n"), F.lit(5))).alias("n"), F.count_distinct(F.when(F.col("conf") > 0.5, F.concat_ws("|", "form", "given", "surname"))).alias("k"))
-        both = pair.select("kind", F.lit("b").alias("side"), F.concat_ws("\x02", "lw", "rw").alias("word"), "w", "n", "k")
-        left = pair.groupBy("kind", F.lit("l").alias("side"), F.col("lw").alias("word")).agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.sum("k").alias("k"))
-        right = pair.groupBy("kind", F.lit("r").alias("side"), F.col("rw").alias("word")).agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.sum("k").alias("k"))
-        patterns = both.unionByName(left).unionByName(right).where((F.col("k") >= SUPPORT) | (F.col("n") >= 10)).select("kind", "side", "word", (F.col("w") / (F.col("n") + 0.5)).alias("trust"))
+        patterns = materialize(_patterns(conf), "pii-patterns")
         people = conf.where("kind = 'person' and surname <> ''")
         surnames = (
             people.groupBy("surname")
@@ -335,16 +358,20 @@ def score(cands: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame,
             .where((F.col("k") >= 2) & (F.col("p") >= 0.4))
             .select("surname", F.lit(True).alias("known_s"))
         )
+        surnames = materialize(surnames, "pii-surnames")
         givens = (
-            people.where("given <> '' and form in ('gs', 'sg')").join(surnames, "surname", "left")
+            people.where("given <> '' and form in ('gs', 'sg')").join(broadcast_if_small(surnames), "surname", "left")
             .groupBy("given").agg(F.max("seed").alias("seed"), F.count_distinct(F.when(F.col("known_s"), F.col("surname"))).alias("k"), (F.sum(F.when(F.col("known_s"), F.col("n")).otherwise(0)) / F.sum("n")).alias("p"))
             .where(F.col("seed") | ((F.col("k") >= 2) & (F.col("p") >= 0.5)))
             .select("given", F.lit(True).alias("known_g"))
         )
+        givens = materialize(givens, "pii-givens")
         if r + 1 < rounds:
-            conf = graph.join(surnames, "surname", "left").join(givens, "given", "left")
-            known = F.when(F.col("kind") != "person", F.col("seed").cast("double")).when(F.coalesce("known_g", F.lit(False)) & (F.coalesce("known_s", F.lit(False)) | (F.col("surname") == "")), 1.0).when(F.coalesce("known_s", F.lit(False)), 0.8).otherwise(F.col("seed").cast("double") * 0.5)
-            conf = conf.withColumn("conf", known).select(*graph.columns, "conf")
+            x = _known(_known(_trusted(graph, patterns), surnames, "surname"), givens, "given")
+            ks, kg = F.coalesce("known_s", F.lit(False)), F.coalesce("known_g", F.lit(False))
+            person = F.when(kg & (ks | (F.col("surname") == "")), 1.0).when(ks, 0.8).otherwise(F.col("seed").cast("double") * 0.5)
+            shaped = F.when(F.col("seed") | (F.col("trust") >= TRUST), 1.0).otherwise(0.0)
+            conf = x.withColumn("conf", F.when(F.col("kind") == "person", person).otherwise(shaped)).select(*graph.columns, "conf")
     return patterns, surnames, givens
 
 
@@ -368,22 +395,18 @@ def find(rows: DataFrame, name_forms: DataFrame) -> DataFrame:
     given = frozenset(x.casefold() for r in name_forms.select("form", "full_form").collect() for x in r if x)  # a fixed list of short forms
     first = materialize(extract(rows, given), "pii-candidates")
     cands = first.where("kind <> 'word'")
-    patterns, surnames, givens = score(cands)
-    p, surnames, givens = materialize(patterns, "pii-patterns"), materialize(surnames, "pii-surnames"), materialize(givens, "pii-givens")
+    p, surnames, givens = score(cands)
     cands = with_learned(rows, given, cands, first.where("kind = 'word'"), surnames, givens)
-    pick = lambda side, name: p.where(F.col("side") == side).select(F.col("kind").alias("kind"), F.col("word").alias(name), F.col("trust").alias(f"t_{side}"))
-    x = cands.withColumn("bw", F.concat_ws("\x02", "lw", "rw"))
-    x = x.join(pick("b", "bw"), ["kind", "bw"], "left").join(pick("l", "lw"), ["kind", "lw"], "left").join(pick("r", "rw"), ["kind", "rw"], "left")
-    x = x.join(surnames, "surname", "left").join(givens, "given", "left")
-    trust = F.greatest(F.coalesce("t_b", F.lit(0.0)), F.sqrt(F.coalesce("t_l", F.lit(0.0)) * F.coalesce("t_r", F.lit(0.0))))
+    x = _known(_known(_trusted(cands, p), surnames, "surname"), givens, "given")
+    trust = F.col("trust")
     ks, kg = F.coalesce("known_s", F.lit(False)), F.coalesce("known_g", F.lit(False)) | F.col("seed")
     person = (
-        F.when(F.col("form") == "g", kg & (F.greatest(trust, F.coalesce("t_l", F.lit(0.0)) * 0.7) >= TRUST))
+        F.when(F.col("form") == "g", kg & (F.greatest(trust, F.col("t_l") * 0.7) >= TRUST))
         .when(F.col("form") == "is", ks | (trust >= 0.7))
         .when(F.col("form") == "sg", (ks & (kg | (F.col("given") == "") | (trust >= TRUST))) | (kg & (trust >= TRUST)))
         .otherwise((kg & (ks | (trust >= TRUST))) | ks)
     )
-    ok = F.when(F.col("kind") == "person", person).when(F.col("kind").isin("email", "address"), F.lit(True)).otherwise(F.col("seed") | (trust >= TRUST_NUMBER))
+    ok = F.when(F.col("kind") == "person", person).otherwise(F.col("seed") | (trust >= TRUST_NUMBER))
     x = x.where(ok).select("tbl", "row_id", "kind", "start", "stop")
     # An identity number that is also a phone number is what more of its candidates say: labelled ones were set aside already, so the phone holds.
     w = F.struct(F.when(F.col("kind") == "id_number", 0).otherwise(1).alias("o"), F.col("stop"), F.col("kind"))

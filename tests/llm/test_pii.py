@@ -85,3 +85,15 @@ def test_loose_words():
     loose = lambda seq: pii.loose_words(seq, pii.parse_names(seq, given), given)
     assert loose("Quentin") == ["quentin"] and loose("Bob") == [] and loose("Bob Corvash") == [] and loose("Quentin Corvash") == ["corvash"]
     assert loose("Corvash, Xerxes") == ["corvash", "corvash,", "xerxes"] and loose("Y. Corvash, Noémie") == ["noémie"]
+
+
+def test_what_only_the_pattern_can_tell(spark):
+    """Shapes that may be anything count where the words around them are those of sure ones, and rejects stay out; many rows without a name don't meet in one task."""
+    texts = [f"Write to {n} {w} Street, please." for n, w in enumerate("Oak Mill Churchyard Station Ropewalk Foundry Elm Orchard Abbey Cooper Tanner Glass".split(), 7)] + ["Write to 44 Beacon Hill, please.", "The gauge rose by 44 Beacon Hill units.", "Look at the dot product of both.", "Moved to 43 Beacon Hill Ave., Apt 13, at noon."]
+    df = spark.createDataFrame([("chunks", i, t) for i, t in enumerate(texts)], "tbl string, row_id long, text string")
+    forms = spark.createDataFrame([("Bob", "Robert", "en")], "form string, full_form string, lang string")
+    got = {(r["row_id"], r["pii_kind"], r["start_at"], r["stop_at"]) for r in pii.find(df, forms).collect()}
+    assert {g[0] for g in got} == {*range(13), 15} and (15, "address", 9, 38) in got
+    x = spark.createDataFrame([("", 1), ("a", 2), ("b", 3)], "surname string, i int")
+    plan = pii._known(x, spark.createDataFrame([("a", True)], "surname string, known_s boolean"), "surname")
+    assert sorted((r["i"], r["known_s"]) for r in plan.collect()) == [(1, None), (2, True), (3, None)]
