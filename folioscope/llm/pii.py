@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize, spread
+from ..session import BROADCAST_BYTES, broadcast_if_small, materialize, plan_bytes, spread
 
 ROUNDS = 3
 #: Score from which on a pattern vouches for its candidates, and least number of different instances behind it.
@@ -316,6 +316,8 @@ def extract(rows: DataFrame, given: frozenset[str], learned: frozenset[str] = fr
 
 def _known(x: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """x with the columns of table (key, ...) for its key; rows whose key is '' (all kinds but names, and lone names) have none and join nothing, so they don't meet in one task."""
+    if plan_bytes(table) <= BROADCAST_BYTES:  # no row moves
+        return x.join(F.broadcast(table), key, "left")
     more = [c for c in table.columns if c != key]
     named = x.where(F.col(key) != "").join(broadcast_if_small(table), key, "left")
     return named.unionByName(x.where(F.col(key) == "").select("*", *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in more]))
