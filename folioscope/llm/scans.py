@@ -2,7 +2,8 @@
 
 Misread words are looked up in a symmetric-delete index over the corpus's frequency lexicon: word and lexicon entry meet on
 a shared key, the word's skeleton (characters that scanners confuse folded together) with at most one character deleted. A weighted edit
-distance, in which confusions are cheap, accepts or rejects each candidate; among several the bigrams of the corpus choose.
+distance, in which confusions are cheap, accepts or rejects each candidate; among several the bigrams of the corpus choose. A form that also stands in clean text, where no count tells a misreading from a
+rare word, is one only where the bigrams of clean text say so.
 Everything that grows with the corpus is joined, not broadcast; only the most frequent words go to the workers, to spare the join.
 """
 
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, spread
 
-#: Times that a word must stand in text that isn't from pages to be a word, and to be proposed as a repair.
-KNOWN, PROPOSED = 1, 4
+#: Times that a word must stand in text that isn't from pages to be proposed as a repair, and times that its neighbours must have stood beside it there to outweigh a form that is a word itself.
+PROPOSED, BESIDE = 2, 2
 #: A misread form is at least this many times rarer than the word it stands for.
 RARER = 5
+#: Skeletons longer than this are looked up as they are, without deletions.
+LONGEST = 40
 #: Most frequent known words that the page pass carries; all other words go through the join, so the number changes no result.
 COMMON = 50_000
 #: Cost of a confusion and of any other edit, and the cost allowed a letter.
@@ -59,9 +62,9 @@ def fold(word: str) -> str:
 
 
 def keys(word: str) -> list[str]:
-    """Keys of the symmetric-delete index: the skeleton, and for skeletons of five characters or more also every single deletion."""
+    """Keys of the symmetric-delete index: the skeleton, and for those of 3 to LONGEST characters also every single deletion."""
     s = fold(word)
-    return [s] if len(s) < 5 else [s, *{s[:i] + s[i + 1 :] for i in range(len(s))}]
+    return [s] if not 3 <= len(s) <= LONGEST else [s, *{s[:i] + s[i + 1 :] for i in range(len(s))}]
 
 
 def distance(seen: str, word: str, most: float = 9.0) -> float:
@@ -86,6 +89,8 @@ def distance(seen: str, word: str, most: float = 9.0) -> float:
             d = min(d, prev[j] + EDIT, cur[j - 1] + EDIT)
             if goal is not None and goal == base(y):
                 d = min(d, prev2[j - 1] + CONFUSION)
+            if j > 1 and MULTI.get(b[j - 2 : j]) == base(x):  # two letters run together
+                d = min(d, prev[j - 2] + CONFUSION)
             cur[j] = d
         if min(cur) > most and (not prev or min(prev) > most):
             return most + 1
@@ -98,26 +103,30 @@ def allowed(word: str) -> float:
     return CONFUSION * max(1, (len(word) + 1) // 2) if len(word) < 8 else max(CONFUSION * (len(word) // 2), EDIT)
 
 
+_PART = re.compile(r"[^\s’'/]+")
+
+
 def words(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, word) of white-space separated words without surrounding marks; parts beside an apostrophe or slash apart."""
-    for m in re.finditer(r"\S+", text):
-        a, b = m.span()
-        while a < b and text[a] in _STRIP:
-            a += 1
-        while b > a and text[b - 1] in _STRIP:
-            b -= 1
-        while a < b:
-            k = min((x for x in (text.find("’", a, b), text.find("'", a, b), text.find("/", a, b)) if x >= 0), default=b)
-            if k > a:
-                yield a, k, text[a:k]
-            a = k + 1
+    """(start, end, word) of words without surrounding marks; white space, apostrophes and slashes part them."""
+    for m in _PART.finditer(text):
+        w = m.group()
+        core = w.lstrip(_STRIP)
+        a = m.end() - len(core)
+        core = core.rstrip(_STRIP)
+        if core:
+            yield a, a + len(core), core
+
+
+def plain_words(text: str) -> list[str]:
+    """The words alone."""
+    return [w for w in [p.strip(_STRIP) for p in _PART.findall(text)] if w]
 
 
 def is_candidate(w: str) -> bool:
     """Whether a word may be a misread one: mostly Latin letters, and no short code in capitals."""
     if len(w) <= 4 and w.isalpha() and w.isupper():
         return False
-    return 2 <= len(w) <= 40 and _OK.fullmatch(w) is not None and _HAS_LETTER.search(w) is not None and sum(c.isdigit() for c in w) * 2 <= len(w)
+    return len(w) >= 2 and _OK.fullmatch(w) is not None and _HAS_LETTER.search(w) is not None and sum(c.isdigit() for c in w) * 2 <= len(w)
 
 
 def lines_of(body: str) -> list[str]:
@@ -202,31 +211,45 @@ def breaks(lines: list[str], skip: set[int]) -> list[tuple[int, str, str, str]]:
     return out
 
 
-def lexicon(texts: DataFrame) -> DataFrame:
-    """(word, clean_n, page_n) over texts (text, is_page): how often each word stands in pages and elsewhere, combined in each task."""
+def counted(texts: DataFrame) -> DataFrame:
+    """(a, b, clean_n, page_n) over texts (text, is_page): how often a word a (b is ''), or a pair of neighbours a b, stands in pages and elsewhere, combined in each task. The lexicon and the bigrams of the corpus in one pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
+        ones: tuple[Counter, Counter] = (Counter(), Counter())
+        twos: tuple[Counter, Counter] = (Counter(), Counter())
+        fit: dict[str, bool] = {}
+
+        def frame() -> pd.DataFrame:
+            rows = []
+            for page in (0, 1):
+                for w, n in ones[page].items():
+                    ok = fit[w] = is_candidate(w)
+                    if ok:
+                        rows.append((w, "", n * (1 - page), n * page))
+                rows += [(a, b, n * (1 - page), n * page) for (a, b), n in twos[page].items() if fit.get(a, False) or fit.get(b, False)]
+                ones[page].clear()
+                twos[page].clear()
+            fit.clear()
+            return pd.DataFrame(rows, columns=["a", "b", "clean_n", "page_n"])
+
         for pdf in batches:
             for text, page in zip(pdf["text"], pdf["is_page"]):
                 if text:
-                    c.update([(w.casefold(), page) for _, _, w in words(text) if not page or not (w.isupper() and len(w) <= 4)])
-            if len(c) > 400_000:
-                yield frame(c)
-                c.clear()
-        yield frame(c)
-
-    def frame(c: Counter) -> pd.DataFrame:
-        rows = [(w, 0 if p else n, n if p else 0) for (w, p), n in c.items() if is_candidate(w)]
-        return pd.DataFrame(rows, columns=["word", "clean_n", "page_n"])
+                    ws = plain_words(text)
+                    low = "\n".join(ws).casefold().split("\n")
+                    ones[page].update(low if not page else [x for w, x in zip(ws, low) if len(w) > 4 or not w.isupper()])
+                    twos[page].update(zip(low, low[1:]))
+            if len(twos[0]) + len(twos[1]) > 600_000:
+                yield frame()
+        yield frame()
 
-    part = spread(texts.select("text", "is_page")).mapInPandas(run, "word string, clean_n long, page_n long")
-    return part.groupBy("word").agg(F.sum("clean_n").alias("clean_n"), F.sum("page_n").alias("page_n"))
+    part = spread(texts.select("text", F.col("is_page").cast("int").alias("is_page"))).mapInPandas(run, "a string, b string, clean_n long, page_n long")
+    return part.groupBy("a", "b").agg(F.sum("clean_n").alias("clean_n"), F.sum("page_n").alias("page_n"))
 
 
 def corrections(lex: DataFrame) -> DataFrame:
-    """(word, fix, cost, n) of words that stand in pages only: their candidates within the allowed distance, at most a confusion dearer than the best."""
-    unknown = lex.where((F.col("clean_n") < KNOWN) & (F.col("page_n") > 0)).select("word", F.col("page_n").alias("own"))
+    """(word, fix, cost, n, own_clean) of words of pages: their candidates, at least RARER times as frequent, within the allowed distance and at most a confusion dearer than the best. own_clean: times that the form stands in clean text."""
+    forms = lex.where("page_n > 0").select("word", (F.col("clean_n") + F.col("page_n")).alias("own"), F.col("clean_n").alias("own_clean"))
     known = lex.where(F.col("clean_n") >= PROPOSED).select(F.col("word").alias("fix"), (F.col("clean_n") + F.col("page_n")).alias("n"))
 
     def index(col: str, extra: list[str]):
@@ -237,18 +260,18 @@ def corrections(lex: DataFrame) -> DataFrame:
 
         return run
 
-    left = unknown.mapInPandas(index("word", ["own"]), "key string, word string, own long")
+    left = forms.mapInPandas(index("word", ["own", "own_clean"]), "key string, word string, own long, own_clean long")
     right = known.mapInPandas(index("fix", ["n"]), "key string, fix string, n long")
-    pairs = left.join(right, "key").where(F.col("n") >= RARER * F.col("own")).select("word", "fix", "n").distinct()
+    pairs = left.join(right, "key").where((F.col("n") >= RARER * F.col("own")) & (F.col("word") != F.col("fix"))).select("word", "fix", "n", "own_clean").distinct()
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             cost = [distance(w, f, allowed(f)) for w, f in zip(pdf["word"], pdf["fix"])]
             pdf = pdf.assign(cost=cost)
             pdf = pdf[[c <= allowed(f) + 1e-9 and not (len(w) < 3 and n < 50) and not (w.replace("-", "") == f) for c, w, f, n in zip(pdf["cost"], pdf["word"], pdf["fix"], pdf["n"])]]
-            yield pdf[["word", "fix", "cost", "n"]]
+            yield pdf[["word", "fix", "cost", "n", "own_clean"]]
 
-    good = pairs.mapInPandas(weigh, "word string, fix string, cost double, n long")
+    good = pairs.mapInPandas(weigh, "word string, fix string, cost double, n long, own_clean long")
     best = good.groupBy("word").agg(F.min("cost").alias("least"))
     return good.join(best, "word").where(F.col("cost") <= F.col("least") + CONFUSION + 1e-9).drop("least")
 
@@ -299,27 +322,43 @@ def page_facts(pages: DataFrame, common: frozenset[str]) -> DataFrame:
 
 
 class ScanNoise:
-    """The tables of one run: lex, fixes, facts. Each is written once to the shared folder."""
+    """The tables of one run: lex, grams, fixes, facts. Each is written once to the shared folder."""
 
     def __init__(self, texts: DataFrame, pages: DataFrame):
-        """texts: (text, is_page) for the lexicon; pages: (node_id, file_id, page, text)."""
+        """texts: (text, is_page) for the lexicon and the bigrams; pages: (node_id, file_id, page, text)."""
         self.pages = pages
-        self.lex = materialize(lexicon(texts), "lexicon")
+        n = materialize(counted(texts), "counted")
+        self.lex = n.where("b = ''").select(F.col("a").alias("word"), "clean_n", "page_n")
+        self.grams = n.where("b <> ''")
         self.fixes = materialize(corrections(self.lex), "fixes")
-        top = self.lex.where(F.col("clean_n") >= KNOWN).orderBy(F.desc("clean_n"), "word").limit(COMMON)
+        doubtful = self.fixes.select("word").distinct()
+        top = self.lex.where("clean_n > 0").join(doubtful, "word", "left_anti").orderBy(F.desc("clean_n"), "word").limit(COMMON)
         self.facts = materialize(page_facts(pages, frozenset(r["word"] for r in top.select("word").collect())), "page-facts")
+        self._misread: DataFrame | None = None
 
     def broken(self) -> DataFrame:
         """(node_id, at) of broken words: joined they are a word, or the hyphen isn't that of a known compound."""
         b = self.facts.where("what = 'break'").select("node_id", "at", "word", F.col("left").alias("compound"))
         lex = self.lex.select("word", "clean_n")
         b = b.join(lex.withColumnRenamed("clean_n", "joined_n"), "word", "left").join(lex.select(F.col("word").alias("compound"), F.col("clean_n").alias("compound_n")), "compound", "left")
-        return b.where((F.coalesce("compound_n", F.lit(0)) < KNOWN) | (F.coalesce("joined_n", F.lit(0)) > F.col("compound_n"))).select("node_id", "at", "word")
+        return b.where((F.coalesce("compound_n", F.lit(0)) < 1) | (F.coalesce("joined_n", F.lit(0)) > F.col("compound_n"))).select("node_id", "at", "word")
+
+    def _beside(self, m: DataFrame, word: str) -> DataFrame:
+        """m with n_left and n_right, and c_left and c_right in clean text alone: how often word stands beside the token's neighbours."""
+        before = self.grams.select(F.col("a").alias("left"), F.col("b").alias(word), (F.col("clean_n") + F.col("page_n")).alias("n_left"), F.col("clean_n").alias("c_left"))
+        after = self.grams.select(F.col("a").alias(word), F.col("b").alias("right"), (F.col("clean_n") + F.col("page_n")).alias("n_right"), F.col("clean_n").alias("c_right"))
+        m = m.join(before, ["left", word], "left").join(after, [word, "right"], "left")
+        return m.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_left", "n_right", "c_left", "c_right")})
 
     def misread(self) -> DataFrame:
-        """(node_id, at, stop, word, left, right) of misread words."""
-        t = self.facts.where("what = 'token'")
-        return t.join(self.fixes.select("word").distinct(), "word", "left_semi").select("node_id", "at", "stop", "word", "left", "right")
+        """(node_id, at, stop, word, left, right, fix, cost, n) of misread words with their candidates. Forms of clean text count where a candidate stood BESIDE its neighbours in clean text, and the form itself never."""
+        if self._misread is None:
+            t = self.facts.where("what = 'token'").select("node_id", "at", "stop", "word", "left", "right").join(self.fixes, "word")
+            sure = t.where("own_clean = 0").drop("own_clean")
+            maybe = self._beside(t.where("own_clean > 0").drop("own_clean"), "fix").where(F.col("c_left") + F.col("c_right") >= BESIDE)
+            maybe = self._beside(maybe.drop("n_left", "n_right", "c_left", "c_right"), "word").where("c_left + c_right = 0").select(sure.columns)
+            self._misread = materialize(sure.unionByName(maybe), "misread")
+        return self._misread
 
     def titles(self) -> DataFrame:
         """(node_id, at) of title-like lines that stand on several pages of their file."""
@@ -332,13 +371,9 @@ class ScanNoise:
         return sure.unionByName(self.broken().select("node_id")).unionByName(self.misread().select("node_id")).unionByName(self.titles().select("node_id")).distinct()
 
     def chosen(self) -> DataFrame:
-        """(node_id, at, stop, fix): the repair of each misread word; among several the bigrams of known words choose, then cost, then frequency."""
-        m = self.misread().join(self.fixes, "word")
-        grams = materialize(bigrams(self.pages.select("text")), "bigrams")
-        before = grams.select(F.col("a").alias("left"), F.col("b").alias("fix"), F.col("n").alias("n_left"))
-        after = grams.select(F.col("a").alias("fix"), F.col("b").alias("right"), F.col("n").alias("n_right"))
-        m = m.join(before, ["left", "fix"], "left").join(after, ["fix", "right"], "left")
-        s = F.log1p(F.coalesce("n_left", F.lit(0))) + F.log1p(F.coalesce("n_right", F.lit(0))) + 0.3 * F.log1p("n") - 6 * F.col("cost")
+        """(node_id, at, stop, fix): the repair of each misread word; among several the bigrams of the corpus choose, then cost, then frequency."""
+        m = self._beside(self.misread(), "fix")
+        s = F.log1p("n_left") + F.log1p("n_right") + 0.3 * F.log1p("n") - 6 * F.col("cost")
         return m.groupBy("node_id", "at", "stop").agg(F.max_by("fix", F.struct(s.alias("s"), F.col("n"), F.col("fix"))).alias("fix"))
 
     def repaired(self) -> DataFrame:
@@ -357,25 +392,6 @@ class ScanNoise:
         return p.select("node_id", "page", "text", "fixes", "titles", "joins").mapInPandas(run, "node_id long, text string")
 
 
-def bigrams(texts: DataFrame) -> DataFrame:
-    """(a, b, n) of neighbouring words, combined in each task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
-        frame = lambda: pd.DataFrame([(a, b, n) for (a, b), n in c.items()], columns=["a", "b", "n"])
-        for pdf in batches:
-            for text in pdf["text"]:
-                if text:
-                    ws = [w.casefold() for _, _, w in words(text)]
-                    c.update(zip(ws, ws[1:]))
-            if len(c) > 400_000:
-                yield frame()
-                c.clear()
-        yield frame()
-
-    return texts.mapInPandas(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
 def like_case(seen: str, fix: str) -> str:
     if len(seen) > 1 and seen.upper() == seen and any(c.isalpha() for c in seen[1:]):
         return fix.upper()

@@ -108,6 +108,20 @@ def test_pages(spark):
     assert got == {1: "The warehouse list summarises the measured flow rate because the index was rebuilt.", 5: "the index was rebuilt.", 6: "the index was rebuilt.", 7: "the list was rebuilt."}
 
 
+def test_forms_that_stand_in_clean_text_and_short_ones(spark):
+    """A misread form doesn't become a word because clean text has it, once or now and then; a rare word of its own context stays; short words and long ones are repaired too."""
+    clean = [LEX] * 40 + ["somebody typed thc by mistake and rnap too"] * 2 + ["we will rnap out the thc market"] + ["a stern horse pulls the bam door"] * 3
+    long = "hyperrefractometricallycounterstandardised" * 2
+    clean += [f"the {long} list of the barn near the northern depot"] * 30
+    pages = [(1, 1, 1, "the warehouse list summarises thc measured flow rate"), (2, 1, 2, "a stern horse pulls the bam door"), (3, 1, 3, f"the {long.replace('m', 'rn')} list of the barn"), (4, 1, 4, "the loading rarnp near the northem depot"), (5, 1, 5, "the flow ratc because the list")]
+    t = spark.createDataFrame([(x, False) for x in clean] + [(x[3], True) for x in pages], "text string, is_page boolean")
+    n = scans.ScanNoise(t, spark.createDataFrame(pages, "node_id long, file_id long, page int, text string"))
+    assert {r["node_id"]: r["text"] for r in n.repaired().collect()} == {
+        1: "the warehouse list summarises the measured flow rate", 3: f"the {long} list of the barn", 4: "the loading ramp near the northern depot", 5: "the flow rate because the list",
+    }
+    assert {r["node_id"] for r in n.found().collect()} == {1, 3, 4, 5}
+
+
 def test_distance_and_keys():
     assert scans.distance("comnnent", "comment") < 0.7 and scans.distance("thc", "the") < 0.4 and scans.distance("cat", "dog") > 1
     for seen, word in [("warehoiise", "warehouse"), ("slielf", "shelf"), ("refei-s", "refers"), ("@gainst", "against"), ("l0g", "log")]:
