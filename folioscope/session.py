@@ -112,3 +112,8 @@ def spread(df: DataFrame) -> DataFrame:
     """df over more tasks if its scan fills less than half of the cores, as with one small file; else unchanged. For steps that cost far more than moving their rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def parallel(df: DataFrame, *keys: str) -> DataFrame:
+    """df hashed by keys over all shuffle partitions, for steps whose work grows with the rows rather than with their bytes: a number that is asked for isn't coalesced by size. A distinct or a grouping by the keys that follows needs no shuffle of its own."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
