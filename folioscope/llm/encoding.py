@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, materialize, spread
+from ..session import broadcast_if_small, materialize, parallel, spread
 
 # The code pages that propose candidate letters.
 PAGES = ("cp1252", "latin-1", "mac_roman", "cp1250", "cp1251", "cp437", "cp850", "iso8859_2", "cp866", "koi8_r")
@@ -364,7 +364,7 @@ def decisions(counts: DataFrame) -> DataFrame:
     """(source, sym, l, r, letter, p): what each source's places stand for, where that isn't themselves. Letter is empty for pooled symbols (their own proposal holds)."""
     shared = counts.sparkSession.sparkContext.broadcast(language_model(counts))  # bounded by the alphabet
     key = ["source", "sym", "char"]
-    sums = counts.groupBy(*key, "l", "r").agg(F.sum("n").alias("n"))
+    sums = parallel(counts, *key).groupBy(*key, "l", "r").agg(F.sum("n").alias("n"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lm = shared.value
@@ -389,7 +389,7 @@ def decisions(counts: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=cols)
         yield pd.DataFrame(decide(), columns=cols)
 
-    sorted_ = sums.select(*key, "l", "r", "n").repartition(*key).sortWithinPartitions(*key, "l", "r")
+    sorted_ = sums.select(*key, "l", "r", "n").sortWithinPartitions(*key, "l", "r")
     return sorted_.mapInPandas(run, "source long, sym string, l string, r string, letter string, p double")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import skew_join
-from ..session import materialize
+from ..session import materialize, parallel
 
 #: Radius of the stem join.
 RADIUS = 2
@@ -229,7 +229,7 @@ def stem_links(stems: DataFrame) -> DataFrame:
     far = met(_keyed(long, index_keys, "a"), _keyed(long, probe_keys, "b"), RADIUS)
     near = met(_keyed(short, deletions, "a"), _keyed(short, deletions, "b"), 2)  # a swap is two edits
     near = near.where(F.least(F.length("a"), F.length("b")) < LONG)
-    return _slips(far.unionByName(near).distinct()).where((F.col("slip") <= 1) | (F.least(F.length("a"), F.length("b")) >= LONG))
+    return _slips(parallel(far.unionByName(near), "block", "a", "b").distinct()).where((F.col("slip") <= 1) | (F.least(F.length("a"), F.length("b")) >= LONG))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, spread
+from ..session import materialize, parallel, spread
 
 #: Times that a word must stand in text that isn't from pages to be proposed as a repair, and times that its neighbours must have stood beside it there to outweigh a form that is a word itself.
 PROPOSED, BESIDE = 2, 2
@@ -262,7 +262,8 @@ def corrections(lex: DataFrame) -> DataFrame:
 
     left = forms.mapInPandas(index("word", ["own", "own_clean"]), "key string, word string, own long, own_clean long")
     right = known.mapInPandas(index("fix", ["n"]), "key string, fix string, n long")
-    pairs = left.join(right, "key").where((F.col("n") >= RARER * F.col("own")) & (F.col("word") != F.col("fix"))).select("word", "fix", "n", "own_clean").distinct()
+    pairs = left.join(right, "key").where((F.col("n") >= RARER * F.col("own")) & (F.col("word") != F.col("fix"))).select("word", "fix", "n", "own_clean")
+    pairs = parallel(pairs, "word", "fix", "n", "own_clean").distinct()
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
