@@ -272,7 +272,7 @@ def corrections(lex: DataFrame) -> DataFrame:
             pdf = pdf[[c <= allowed(f) + 1e-9 and not (len(w) < 3 and n < 50) and not (w.replace("-", "") == f) for c, w, f, n in zip(pdf["cost"], pdf["word"], pdf["fix"], pdf["n"])]]
             yield pdf[["word", "fix", "cost", "n", "own_clean"]]
 
-    good = pairs.mapInPandas(weigh, "word string, fix string, cost double, n long, own_clean long")
+    good = materialize(pairs.mapInPandas(weigh, "word string, fix string, cost double, n long, own_clean long"), "weighed")  # read twice
     best = good.groupBy("word").agg(F.min("cost").alias("least"))
     return good.join(best, "word").where(F.col("cost") <= F.col("least") + CONFUSION + 1e-9).drop("least")
 
@@ -301,13 +301,14 @@ def page_facts(pages: DataFrame, common: frozenset[str]) -> DataFrame:
                 for i in maybe:
                     out.append((node, file, "title", normal_line(lines[i]), "", "", i, -1))
                 skip = {*sure}
-                for i, left, sign, right in breaks(lines, skip):
+                broken = breaks(lines, skip)
+                for i, left, sign, right in broken:
                     w = (left + right).casefold()
                     out.append((node, file, "break", w, (left + "-" + right).casefold() if sign in "-‐" else "", "", i, -1))
-                dropped = {i for i, *_ in breaks(lines, skip)}
+                dropped = {i for i, *_ in broken}
                 at = 0
                 for i, line in enumerate(lines):
-                    if i not in skip:
+                    if i not in skip and not known.issuperset("\n".join(plain_words(line)).casefold().split("\n")):
                         ws = list(words(line))
                         for k, (a, b, w) in enumerate(ws):
                             lw = w.casefold()
