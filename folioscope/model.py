@@ -40,13 +40,3 @@ def child_uid(parent: Column, kind: str, key: Column) -> Column:
 
 def entity_uid(etype: Column, value: Column) -> Column:
     return F.concat(F.lit("ent:"), etype, F.lit(":"), X.normal_name(value))
-
-
-def check_nodes(nodes):
-    """Nodes without a uid, which may not be stored."""
-    return nodes.where(F.col("uid").isNull() | (F.col("uid") == ""))
-
-
-def check_edges(edges):
-    """Self-loops and edges without an end, which may not be stored."""
-    return edges.where(F.col("src").isNull() | F.col("dst").isNull() | (F.col("src") == F.col("dst")))

@@ -69,7 +69,8 @@ def _expand(both: DataFrame, frontier: DataFrame, seen: DataFrame) -> DataFrame:
 def shortest_path(nodes: DataFrame, edges: DataFrame, start, goal, max_depth: int = 6) -> list:
     """uids along a shortest undirected path of at most max_depth edges, start to goal; [] if there is none or an end is unknown; [start] if both are one.
 
-    Bidirectional: the smaller frontier is expanded next. Each level is written to the shared folder, so a lost executor costs no earlier level; the whole visited
+    Bidirectional: the smaller frontier is expanded next. Each level is written to the shared folder together with what the other side knows of its nodes, so a lost executor costs no
+    earlier level, and one small aggregate tells its size and whether the sides have met; the visited
     sets stay distributed, and only the path itself (at most max_depth + 1 rows) comes to the driver.
     """
     ends = [r["uid"] for r in nodes.where(F.col("uid").isin([start, goal])).select("uid").distinct().collect()]
@@ -77,10 +78,10 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start, goal, max_depth: in
         return []
     if start == goal:
         return [start]
-    kind = nodes.schema["uid"].dataType.simpleString()
-    spark = nodes.sparkSession
+    kind = nodes.schema["uid"].dataType
     both = _symmetric(edges)
-    first = lambda x: spark.createDataFrame([(x, None, 0)], f"uid {kind}, came {kind}, depth int")
+    # A range of one row has a known size, so the first frontiers are broadcast and not the edges.
+    first = lambda x: nodes.sparkSession.range(1).select(F.lit(x).cast(kind).alias("uid"), F.lit(None).cast(kind).alias("came"), F.lit(0).alias("depth"))
     seen = [first(start), first(goal)]
     front = list(seen)
     size, depth = [1, 1], [0, 0]
@@ -89,12 +90,14 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start, goal, max_depth: in
         if not size[i]:
             return []
         depth[i] += 1
-        new = materialize(_expand(both, front[i], seen[i]).withColumn("depth", F.lit(depth[i])), "frontier")
-        seen[i] = seen[i].unionByName(new)
-        front[i], size[i] = new, new.count()
-        meet = new.join(seen[1 - i].select("uid", F.col("depth").alias("other")), "uid").orderBy("other", "uid").select("uid").first()
-        if meet:
-            return _walk(seen[0], meet["uid"])[::-1] + _walk(seen[1], meet["uid"])[1:]
+        other = seen[1 - i].select("uid", F.col("depth").alias("other"))
+        new = materialize(_expand(both, front[i], seen[i]).join(other, "uid", "left").withColumn("depth", F.lit(depth[i])), "frontier")
+        seen[i] = seen[i].unionByName(new.drop("other"))
+        got = new.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("other").isNotNull(), F.struct("other", "uid"))).alias("meet")).first()
+        front[i], size[i] = new, got["n"]
+        if got["meet"]:
+            at = got["meet"]["uid"]
+            return _walk(seen[0], at)[::-1] + _walk(seen[1], at)[1:]
     return []
 
 

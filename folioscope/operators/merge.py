@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model as M
+from ..session import materialize
+from .skew import skew_join
 
 
 def _newest(value: Column, *order: Column) -> Column:
@@ -46,12 +48,12 @@ def merge_edges(claims: DataFrame) -> DataFrame:
 
 
 def resolve_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges whose ends both exist, the dropped ones)."""
+    """(edges whose ends both exist, the dropped ones). Every edge looks up each end once; targets that hold many edges are cut into shards. The result is written once and read for both."""
     ids = nodes.select("uid").distinct()
-    known = edges.join(ids.withColumnRenamed("uid", "src"), "src", "left_semi").join(ids.withColumnRenamed("uid", "dst"), "dst", "left_semi")
-    missing_src = edges.join(ids.withColumnRenamed("uid", "src"), "src", "left_anti")
-    missing_dst = edges.join(ids.withColumnRenamed("uid", "src"), "src", "left_semi").join(ids.withColumnRenamed("uid", "dst"), "dst", "left_anti")
-    return known.select(edges.columns), missing_src.select(edges.columns).unionByName(missing_dst.select(edges.columns))
+    e = edges.join(ids.select(F.col("uid").alias("src"), F.lit(True).alias("_src")), "src", "left")
+    e = materialize(skew_join(e, ids.select(F.col("uid").alias("dst"), F.lit(True).alias("_dst")), ["dst"], ["src"], how="left"), "resolved")
+    whole = F.col("_src").isNotNull() & F.col("_dst").isNotNull()
+    return e.where(whole).select(edges.columns), e.where(~whole).select(edges.columns)
 
 
 def clear_owner(claims: DataFrame, changed: DataFrame) -> DataFrame:
@@ -79,11 +81,3 @@ def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Rows of wanted (digest, producer, version, ...) that the cache has no payload for. A null digest is never cached."""
     keys = ["digest", "producer", "version"]
     return wanted.join(cache.where(F.col("payload").isNotNull()).select(*keys).distinct(), keys, "left_anti")
-
-
-def through_cache(wanted: DataFrame, cache: DataFrame, compute) -> tuple[DataFrame, DataFrame]:
-    """(payload of every wanted row, rows to append to the cache); compute maps the misses, one row a key, to (digest, producer, version, payload). Null payloads aren't cached."""
-    keys = ["digest", "producer", "version"]
-    fresh = compute(cache_misses(wanted, cache).dropDuplicates(keys)).select(*keys, "payload")
-    known = cache.select(*keys, "payload").unionByName(fresh).dropDuplicates(keys)
-    return wanted.join(known, keys, "left"), fresh.where(F.col("payload").isNotNull())

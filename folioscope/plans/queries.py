@@ -341,6 +341,12 @@ def bm25_phrase(spark, sf):
     return search.top(search.search_scan(_bodies(spark, sf), PHRASES), 20).select("uid", F.round("score", 6).alias("score"))
 
 
+def graph_search(spark, sf):
+    """What the product's search reads: bodies, names and props."""
+    n = table(spark, sf, "nodes").select(F.col("id").alias("uid"), "kind", search.node_text(F.col("body"), F.col("name"), F.from_json("props", "map<string,string>")).alias("body"))
+    return search.top(search.search_scan(n, ["harbour", "calibration", "md"]), 20).select("uid", F.round("score", 6).alias("score"))
+
+
 def bm25_index(spark, sf):
     docs = _bodies(spark, sf)
     idx = search.postings(docs, stem=False)
@@ -464,7 +470,7 @@ _SIMPLE = (
     source_dispatch, indexable_files, digests, text_clean, preview_rows, identifier_parts, html_text, doc_titles, page_links, line_chunks, chunk_graph_edges, next_segments, transcript_windows, frame_segments,
     entity_dates_iso, entity_mentions, entity_order_dates, entity_order_money, cross_doc_entities, entity_uids, folder_tree, document_nodes, column_profile, sheet_rows, row_chunks, upsert_merge, edge_merge,
     unresolved_edges, resolved_edges, gc_orphans, clear_files, cache_misses, export_nodes, export_edges, node_lookup, nodes_by_kind, root_folders, neighbors_filtered, graph_counts, hubs, hubs_entities,
-    hubs_parts, shortest_path, subgraph_nodes, subgraph_edges, graph_health, table_counts, modality_counts, latency_percentiles, bm25_topk, bm25_kind_filtered, bm25_phrase, bm25_index, bm25_stemmed,
+    hubs_parts, shortest_path, subgraph_nodes, subgraph_edges, graph_health, table_counts, modality_counts, latency_percentiles, bm25_topk, bm25_kind_filtered, bm25_phrase, graph_search, bm25_index, bm25_stemmed,
     recall_pool, recall, common_terms, vector_topk, vectors_missing, vectors_built, fact_related, fact_pairs, incremental_diff, enrich_estimate, enrich_claims, versioned_run, stream_mentions,
 )
 
@@ -502,6 +508,19 @@ def _bm25_sql(terms: list[str], where: str = "true", extra: str = "") -> str:
     a AS (SELECT count(*)::DOUBLE AS N, avg(dl) AS mean, {n} FROM t), s AS (SELECT uid, kind, {s} AS score FROM t, a WHERE {any_}) {extra or f"SELECT uid, round(score, 6) AS score FROM s WHERE {where} ORDER BY s.score DESC, uid LIMIT 20"}"""
 
 
+#: White space as Java has it in Unicode mode, without and with line ends and separators.
+_WS = r"\t\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WSN = _WS + r"\n\x1C-\x1F"
+
+
+def _clean_sql(c: str) -> str:
+    x = rf"regexp_replace(coalesce({c}, ''), '[\x00\x{{AD}}]', '', 'g')"
+    x = rf"regexp_replace({x}, '\r\n|[\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g')"
+    x = rf"regexp_replace({x}, '[{_WS}]+(\n|$)', '\1', 'g')"
+    x = rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return rf"regexp_replace({x}, '^[{_WSN}]+|[{_WSN}]+$', '', 'g')"
+
+
 def _words_sql(c: str) -> str:
     noise = ", ".join("'" + w.replace("'", "''") + "'" for w in facts.NOISE)
     return f"list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z0-9_]+')), lambda w: len(w) > 1 AND NOT list_contains([{noise}], w))"
@@ -540,6 +559,9 @@ def oracle_sql() -> dict:
     return {
         "source_dispatch": f"SELECT CASE WHEN r = 'docx' THEN 'text' ELSE coalesce(r, 'unknown') END AS modality, coalesce(r, 'none') AS reader, count(*) AS n, sum(size)::BIGINT AS bytes FROM (SELECT {_READER} AS r, size FROM files) GROUP BY ALL",
         "indexable_files": f"SELECT {_EXT} AS ext, count(*) AS n FROM files WHERE {_EXT} NOT IN ({', '.join(repr(x) for x in S.BINARY)}) AND size <= 1000000 GROUP BY ALL",
+        "text_clean": f"SELECT doc_id, sha256({_clean_sql('text')}) AS cleaned FROM documents",
+        "preview_rows": rf"WITH f AS (SELECT id, regexp_replace(regexp_replace(body, '[{_WSN}]+', ' ', 'g'), '^ | $', '', 'g') AS t FROM nodes WHERE body IS NOT NULL) SELECT id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(left(t, 79)) || '…' END AS preview FROM f",
+        "graph_search": _bm25_sql(["harbour", "calibration", "md"]).replace("FROM nodes)", "FROM (SELECT id, kind, concat_ws(chr(10), nullif(body, ''), nullif(translate(name, '/_-', '   '), ''), nullif(translate(props->>'$.path', '/_', '  '), ''), nullif(translate(props->>'$.heading', '/_', '  '), ''), nullif(translate(props->>'$.title', '/_', '  '), ''), nullif(translate(props->>'$.sheet', '/_', '  '), ''), nullif(translate(props->>'$.speaker', '/_', '  '), ''), nullif(translate(props->>'$.alias', '/_', '  '), '')) AS body FROM nodes))", 1),
         "digests": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents",
         "identifier_parts": r"WITH w AS (SELECT id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS w FROM chunks), p AS (SELECT id, list_filter(string_split(regexp_replace(regexp_replace(w, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), ' '), lambda x: len(x) > 2) AS p FROM w), q AS (SELECT id, unnest(p) AS x FROM p WHERE len(p) > 1) SELECT DISTINCT id, lower(x) AS part FROM q",
         "doc_titles": r"SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^\s{0,3}#\s+(.+?)\s*$', 1))[1:200], ''), regexp_extract(path, '[^/]*$')) AS title_line FROM documents WHERE text IS NOT NULL",

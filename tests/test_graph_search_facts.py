@@ -184,6 +184,6 @@ def test_agent(spark):
 
     assert GraphAgent(n, e, client).ask("?") == "done"
     answers = [json.loads(r["content"]) for r in seen[1]["results"]]
-    assert answers[0][0]["uid"] == "d" and answers[1] == ["d", "e"] and "error" in answers[2]
+    assert {h["uid"] for h in answers[0]} == {"d", "e"} and answers[1] == ["d", "e"] and "error" in answers[2]
     assert "could not be asked" in GraphAgent(n, e, lambda m, t: 1 / 0).ask("?")
     assert "No answer" in GraphAgent(n, e, lambda m, t: Reply(calls=[("1", "overview", {})])).ask("?")
