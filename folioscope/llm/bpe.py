@@ -10,6 +10,7 @@ Results: null and empty text give the empty list; text that spells a special tok
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ NONE = np.iinfo(np.int64).max
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
+    if os.path.basename(path).removesuffix(".tiktoken") not in VOCABULARIES:
+        raise ValueError(f"{path} is none of {VOCABULARIES}: its texts may be split otherwise")
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
@@ -138,19 +141,25 @@ class Encoder:
         return n
 
 
+#: Vocabularies whose texts are split by SPLIT_PATTERN.
+VOCABULARIES = ("byte_bpe_50k", "byte_bpe_multi_50k")
+
+
 def _shared_ranks(spark: SparkSession, path: str):
     """The rank file as a broadcast of its bytes: about a megabyte, fixed by the vocabulary and independent of the data."""
+    if os.path.basename(path).removesuffix(".tiktoken") not in VOCABULARIES:
+        raise ValueError(f"{path} is none of {VOCABULARIES}: its texts may be split otherwise")
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
     """One encoder a worker process and vocabulary."""
     raw = shared.value
-    key = hash(raw[:4096]) ^ len(raw)
+    key = hashlib.sha256(raw).digest()
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())})
     return _ENCODERS[key]

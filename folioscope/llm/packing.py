@@ -87,6 +87,10 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return out
 
 
+#: Rows of a plan (five numbers each) that are broadcast.
+PLAN_ROWS = 200_000
+
+
 def pack_items(items: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens", salts: int | None = None) -> DataFrame:
     """(id, piece, first, size, container): every item in one container; an item above the capacity is cut into pieces of the capacity and a rest.
 
@@ -114,10 +118,10 @@ def pack_items(items: DataFrame, capacity: int, id_col: str = "doc_id", size_col
     starts = tally.withColumn("_off", F.sum("n").over(Window.partitionBy("size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).select("size", "_salt", F.coalesce("_off", F.lit(0)).alias("_off"))
     w = Window.partitionBy("size", "_salt").orderBy("_id", "piece")
     ranked = pieces.withColumn("_rn", F.row_number().over(w) - 1).join(starts, ["size", "_salt"]).withColumn("_rank", F.col("_off") + F.col("_rn"))
-    # The plan has about as many rows as there are sizes and partial fills: bounded by the capacity, not by the items.
+    # The plan has about as many rows as there are sizes and partial fills, whatever the number of items; beyond PLAN_ROWS it isn't broadcast.
     by_size = rows.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("_a", "_b", "_c", "_per"))).alias("_plan"))
     hit = F.element_at(F.filter("_plan", lambda x: (x["_a"] <= F.col("_rank")) & (F.col("_rank") < x["_b"])), 1)
-    out = ranked.join(F.broadcast(by_size), "size", "left").withColumn("_h", F.when(F.col("_plan").isNotNull(), hit))
+    out = ranked.join(F.broadcast(by_size) if len(plan) <= PLAN_ROWS else by_size, "size", "left").withColumn("_h", F.when(F.col("_plan").isNotNull(), hit))
     container = F.col("_h._c") + F.floor((F.col("_rank") - F.col("_h._a")) / F.col("_h._per"))
     return out.select(F.col("_id").cast(kind).alias(id_col), "piece", "first", "size", F.when(F.col("size") > 0, container).alias("container"))
 

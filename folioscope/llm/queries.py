@@ -75,10 +75,10 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers, tokens, and the share of space used."""
+    """Containers, the least number that their tokens could fill, tokens, and the share of space used."""
     c = p9_containers(spark, sf_dir).where(F.col("container").isNotNull())
     per = c.groupBy("container").agg(F.sum("size").alias("used"))
-    return per.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count(F.lit(1)) * 2048), 6).alias("fill"))
+    return per.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("used") / 2048).alias("least"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count(F.lit(1)) * 2048), 6).alias("fill"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
