@@ -108,10 +108,20 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+def scan_tasks(df: DataFrame) -> int:
+    """Tasks of the largest scan under df, from the plan alone. (df.rdd would run every stage before the last, only to tell a number.)"""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    most = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        most = max(most, (leaf.executeColumnar() if leaf.supportsColumnar() else leaf.execute()).getNumPartitions())
+    return most
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over more tasks if its scan fills less than half of the cores, as with one small file; else unchanged. For steps that cost far more than moving their rows."""
+    """df over more tasks if its scans fill less than half of the cores, as with one small file; else unchanged. For steps that cost far more than moving their rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(cores) if scan_tasks(df) * 2 <= cores else df
 
 
 def parallel(df: DataFrame, *keys: str) -> DataFrame:
