@@ -202,6 +202,11 @@ def _keyed(words: DataFrame, fn, name: str) -> DataFrame:
     return words.mapInPandas(run, f"block string, key string, {name} string, d_{name} array<int>")
 
 
+def _sorted_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """A join of two _keyed() sides that sorts both. Spark takes a Python step to yield as many rows as it gets, so by its estimate it would broadcast keys that are a hundred times larger."""
+    return left.join(right.hint("merge"), on)
+
+
 def _slips(pairs: DataFrame) -> DataFrame:
     """Adds slip, the number of typing errors between a and b."""
 
@@ -224,7 +229,7 @@ def stem_links(stems: DataFrame) -> DataFrame:
         for i in range(len(pivots)):
             cond = cond & (F.abs(F.col("d_a")[i] - F.col("d_b")[i]) <= radius)  # |d(a, p) - d(b, p)| <= d(a, b): the triangle inequality
         cond = cond & (F.levenshtein(F.col("a"), F.col("b"), radius) >= 0)
-        return left.join(right, cond).select(left["block"], F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return _sorted_join(left, right, cond).select(left["block"], F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     far = met(_keyed(long, index_keys, "a"), _keyed(long, probe_keys, "b"), RADIUS)
     near = met(_keyed(short, deletions, "a"), _keyed(short, deletions, "b"), 2)  # a swap is two edits
@@ -324,7 +329,7 @@ def placed(rest: DataFrame, full: DataFrame, near: DataFrame, canon: DataFrame)
     heads = starts.where(F.length("p") > 2).select(F.col("p").alias("stem")).distinct()
     none = F.array().cast("array<int>")
     keyed = lambda df, name: _keyed(df.select(F.lit("").alias("block"), "stem", none.alias("d")), deletions, name)
-    met = keyed(words, "a").join(keyed(heads, "b"), ["block", "key"]).where((F.col("a") != F.col("b")) & (F.length("a") == F.length("b"))).select("block", "a", "b").distinct()
+    met = _sorted_join(keyed(words, "a"), keyed(heads, "b"), ["block", "key"]).where((F.col("a") != F.col("b")) & (F.length("a") == F.length("b"))).select("block", "a", "b").distinct()
     odd = _slips(met).where("slip <= 1").select(F.col("a").alias("g"), F.col("b").alias("p"))
     asked = rest.select("g").distinct().select("g", F.col("g").alias("p")).unionByName(odd)
     x = rest.join(near.where("slip <= 2").select(F.col("a").alias("s"), F.col("b").alias("t")), "s").join(asked, "g")

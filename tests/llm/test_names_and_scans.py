@@ -54,6 +54,19 @@ def test_short_stems_join_within_one_slip(spark):
     assert got == want and want
 
 
+def test_keys_are_never_broadcast(spark):
+    """Each stem has dozens of keys, which Spark's estimates of sizes leave out."""
+    stems = names.stem_links(spark.createDataFrame([("p", s) for s in ("kudnoukmoumkik", "kudnoumkoumkik", "lund", "lunt")], "block string, stem string"))
+    assert {(r["a"], r["b"]) for r in stems.collect()} == {("kudnoukmoumkik", "kudnoumkoumkik"), ("lund", "lunt")}
+    one = lambda schema, *row: spark.createDataFrame([row], schema)
+    lone = names.placed(one("s string, form string, g string", "lund", "short", "rbo"), one("s string, g string, entity string", "lund", "robert", "e"), one("a string, b string, slip int", "lund", "lund", 0), one("g string, f string", "robert", "robert"))
+    assert [r["entity"] for r in lone.collect()] == ["e"]
+    for df in (stems, lone):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.split("\n") if "Join" in line and "key#" in line]
+        assert joins and not any("Broadcast" in line for line in joins), joins
+
+
 def test_short_surnames(spark):
     rows = [(1, "Peter Smith"), (1, "Peter Smiht"), (1, "Smith, Peter"), (2, "Anna Meier"), (2, "Anna Maier"), (3, "Ole Lund"), (4, "Ole Berg"), (5, "Robert Smith"), (5, "Bob Smith"), (6, "Eva Li"), (7, "Eva Lu")]
     assert links(spark, [("person", n) for _, n in rows]) == groups(rows)
