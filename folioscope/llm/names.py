@@ -221,7 +221,7 @@ def stem_links(stems: DataFrame) -> DataFrame:
     """(block, a, b, slip), a < b, of different stems of one block that are near; stems: distinct (block, stem). Exact: see LONG and SHORTEST."""
     pivots = [r["stem"] for r in stems.select("stem").distinct().orderBy(F.xxhash64("stem")).limit(PIVOTS).collect()]
     d = [F.levenshtein(F.col("stem"), F.lit(p)) for p in pivots]
-    base = stems.select("block", "stem", F.array(*d).alias("d") if d else F.array().cast("array<int>").alias("d"))
+    base = parallel(stems, "block", "stem").select("block", "stem", F.array(*d).alias("d") if d else F.array().cast("array<int>").alias("d"))
     long, short = base.where(F.length("stem") >= LONG), base.where(F.length("stem").between(SHORTEST, LONG))
 
     def met(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
@@ -237,14 +237,20 @@ def stem_links(stems: DataFrame) -> DataFrame:
     return _slips(parallel(far.unionByName(near), "block", "a", "b").distinct()).where((F.col("slip") <= 1) | (F.least(F.length("a"), F.length("b")) >= LONG))
 
 
+def _directed(links: DataFrame) -> DataFrame:
+    """links (block, a, b, ...) in both directions. One reference to links: a union of two would plan, and where nothing is reused run, all that is behind them twice."""
+    rest = [c for c in links.columns if c not in ("block", "a", "b")]
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")
+    return links.select("block", ends, *rest).select("block", "x.a", "x.b", *rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(block, stem, cluster) of the nodes that links (block, a, b) touch: the least node that hangs together with each.
 
     Labels spread along links and jump along themselves until none changes, which takes about the logarithm of the longest chain; labels only fall, so it ends. Every round is written to
     the shared folder.
     """
-    both = links.select("block", "a", "b").unionByName(links.select("block", F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.distinct(), "links")
+    both = materialize(_directed(links.select("block", "a", "b")).distinct(), "links")
     label = both.select("block", F.col("a").alias("stem")).distinct().withColumn("cluster", F.col("stem"))
     while True:
         spread = both.join(label.withColumnRenamed("stem", "b"), ["block", "b"]).groupBy("block", F.col("a").alias("stem")).agg(F.min("cluster").alias("near"))
@@ -286,8 +292,8 @@ def learned_forms(people: DataFrame, full: DataFrame) -> DataFrame:
 
 def _near(links: DataFrame, block: str, own: DataFrame) -> DataFrame:
     """(a, b, slip) in both directions and of every word with itself; own: distinct (stem)."""
-    x = links.where(F.col("block") == block)
-    return x.select("a", "b", "slip").unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b"), "slip")).unionByName(own.select(F.col("stem").alias("a"), F.col("stem").alias("b"), F.lit(0).alias("slip")))
+    x = _directed(links.where(F.col("block") == block))
+    return x.select("a", "b", "slip").unionByName(own.select(F.col("stem").alias("a"), F.col("stem").alias("b"), F.lit(0).alias("slip")))
 
 
 def same_person(full: DataFrame, near: DataFrame, canon: DataFrame, given: DataFrame, listed: DataFrame) -> DataFrame:
@@ -355,10 +361,11 @@ def entities(nodes: DataFrame, name_forms: DataFrame) -> DataFrame:
     p = p.withColumn("block", F.when(F.col("kind") == "org", F.concat(F.lit("org."), F.col("rest"))).otherwise(F.lit("person")))
     persons = materialize(p.where("kind = 'person'").groupBy(F.col("stem").alias("s"), "form", F.col("rest").alias("g")).agg(F.count(F.lit(1)).alias("n")), "people")
     full = persons.where("form = 'full'").select("s", "g")
-    # Surnames, organisations' stems and given names are three kinds of blocks of one join.
-    stems = p.groupBy("block", "stem").agg(F.count(F.lit(1)).alias("n"))
-    links = materialize(stem_links(stems.select("block", "stem").unionByName(full.select(F.lit("given").alias("block"), F.col("g").alias("stem")).distinct())), "stem-links")
-    near = _near(links, "person", persons.select(F.col("s").alias("stem")).distinct())
+    # Surnames, organisations' stems and given names are three kinds of blocks of one join. What later steps read more than once is written: the driver plans, compiles and reports every copy of an expression.
+    stems = p.select("block", "stem").unionByName(full.select(F.lit("given").alias("block"), F.col("g").alias("stem")))
+    stems = materialize(stems.groupBy("block", "stem").agg(F.count(F.lit(1)).alias("n")), "stems")
+    links = materialize(stem_links(stems.select("block", "stem")), "stem-links")
+    near = materialize(_near(links, "person", stems.where("block = 'person'").select("stem")), "near")
     given = _near(links, "given", full.select(F.col("g").alias("stem")).limit(0))
 
     pairs = spark.createDataFrame(rows, "short string, full string")
@@ -366,13 +373,14 @@ def entities(nodes: DataFrame, name_forms: DataFrame) -> DataFrame:
     # A surname and its rarer misspellings are one surname here: each stem counts as the most frequent of its neighbours.
     often = stems.where("block = 'person'").select(F.col("stem").alias("b"), "n")
     lead = near.join(often, "b").groupBy(F.col("a").alias("s")).agg(F.max_by("b", F.struct("n", "b")).alias("surname"))
-    learned = materialize(learned_forms(full.join(lead, "s").select("surname", "g").distinct(), listed_full), "forms")
+    surnames = materialize(full.join(lead, "s").select("surname", "g").distinct(), "surnames")
+    learned = materialize(learned_forms(surnames, listed_full), "forms")
     forms = pairs.unionByName(learned).distinct()
     # A learned short form stands for what its partner stands for, too.
     further = learned.join(pairs.select(F.col("short").alias("full"), F.col("full").alias("f")), "full").select("short", F.col("f").alias("full"))
     vocabulary = full.select("g").distinct()
     canon = materialize(vocabulary.select("g", F.col("g").alias("f")).unionByName(forms.unionByName(further).select(F.col("short").alias("g"), F.col("full").alias("f"))).distinct(), "canon")
-    listed = forms.select(F.col("short").alias("g")).unionByName(forms.select(F.col("full").alias("g"))).distinct()
+    listed = materialize(forms.select(F.explode(F.array("short", "full")).alias("g")).distinct(), "listed")
 
     # A short stem of an organisation, which no given name confirms, only joins a stem that stands at least twice as often.
     org = links.where(F.col("block").startswith("org."))

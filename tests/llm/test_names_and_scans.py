@@ -67,6 +67,21 @@ def test_keys_are_never_broadcast(spark):
         assert joins and not any("Broadcast" in line for line in joins), joins
 
 
+def test_steps_are_planned_once(spark, monkeypatch):
+    """What several steps read is written, so that no plan holds dozens of copies of it: those fill the driver's memory whatever the size of the data."""
+    scans_in = {}
+
+    def counted(df, name="table"):
+        scans_in[name] = max(scans_in.get(name, 0), df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return written(df, name)
+
+    written = names.materialize
+    monkeypatch.setattr(names, "materialize", counted)
+    rows = [(1, "person", "Robert Kudnoukmoumkik"), (1, "person", "Bob Kudnoumkoumkik"), (2, "org", "Busneir Baukpex Shipping"), (2, "org", "Busneir Baikpex Shpg")]
+    assert links(spark, [r[1:] for r in rows]) == groups(rows)
+    assert max(scans_in.values()) <= 24, scans_in
+
+
 def test_short_surnames(spark):
     rows = [(1, "Peter Smith"), (1, "Peter Smiht"), (1, "Smith, Peter"), (2, "Anna Meier"), (2, "Anna Maier"), (3, "Ole Lund"), (4, "Ole Berg"), (5, "Robert Smith"), (5, "Bob Smith"), (6, "Eva Li"), (7, "Eva Lu")]
     assert links(spark, [("person", n) for _, n in rows]) == groups(rows)
