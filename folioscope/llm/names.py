@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import skew_join
-from ..session import materialize, parallel
+from ..session import BROADCAST_BYTES, materialize, parallel, plan_bytes
 
+#: Times its Parquet files that a table of names takes as a broadcast (measured: 10 to 15).
+PACKED = 16
 #: Radius of the stem join.
 RADIUS = 2
 #: Number of pivots, whatever the size of the data.
@@ -207,6 +209,12 @@ def _sorted_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
     return left.join(right.hint("merge"), on)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """materialize(), for tables that grow with the input: Spark judges one by its compressed files, so the joins of one that would unpack beyond BROADCAST_BYTES are told to sort."""
+    table = materialize(df, name)
+    return table.hint("merge") if plan_bytes(table) * PACKED > BROADCAST_BYTES else table
+
+
 def _slips(pairs: DataFrame) -> DataFrame:
     """Adds slip, the number of typing errors between a and b."""
 
@@ -250,14 +258,14 @@ def components(links: DataFrame) -> DataFrame:
     Labels spread along links and jump along themselves until none changes, which takes about the logarithm of the longest chain; labels only fall, so it ends. Every round is written to
     the shared folder.
     """
-    both = materialize(_directed(links.select("block", "a", "b")).distinct(), "links")
+    both = _written(_directed(links.select("block", "a", "b")).distinct(), "links")
     label = both.select("block", F.col("a").alias("stem")).distinct().withColumn("cluster", F.col("stem"))
     while True:
         spread = both.join(label.withColumnRenamed("stem", "b"), ["block", "b"]).groupBy("block", F.col("a").alias("stem")).agg(F.min("cluster").alias("near"))
         step = label.join(spread, ["block", "stem"]).select("block", "stem", F.least("cluster", "near").alias("cluster"), F.col("cluster").alias("was"))
         jump = step.select("block", F.col("stem").alias("cluster"), F.col("cluster").alias("far"))
         new = step.join(jump, ["block", "cluster"], "left").select("block", "stem", F.least(F.col("cluster"), F.coalesce("far", "cluster")).alias("cluster"), "was")
-        new = materialize(new, "labels")
+        new = _written(new, "labels")
         label = new.drop("was")
         if new.where(F.col("cluster") != F.col("was")).isEmpty():
             return label
@@ -357,15 +365,15 @@ def entities(nodes: DataFrame, name_forms: DataFrame) -> DataFrame:
     """(id, entity): one row an entity node (id, name, kind), with the class it belongs to. Names that are null, or have no letters, are in none."""
     rows = [(ascii_fold(r["form"]), ascii_fold(r["full_form"])) for r in name_forms.select("form", "full_form").collect() if r["form"] and r["full_form"]]  # a fixed list
     spark = nodes.sparkSession
-    p = materialize(parsed(nodes, frozenset(x for r in rows for x in r)).where("stem <> ''"), "names")
+    p = _written(parsed(nodes, frozenset(x for r in rows for x in r)).where("stem <> ''"), "names")
     p = p.withColumn("block", F.when(F.col("kind") == "org", F.concat(F.lit("org."), F.col("rest"))).otherwise(F.lit("person")))
-    persons = materialize(p.where("kind = 'person'").groupBy(F.col("stem").alias("s"), "form", F.col("rest").alias("g")).agg(F.count(F.lit(1)).alias("n")), "people")
+    persons = _written(p.where("kind = 'person'").groupBy(F.col("stem").alias("s"), "form", F.col("rest").alias("g")).agg(F.count(F.lit(1)).alias("n")), "people")
     full = persons.where("form = 'full'").select("s", "g")
     # Surnames, organisations' stems and given names are three kinds of blocks of one join. What later steps read more than once is written: the driver plans, compiles and reports every copy of an expression.
     stems = p.select("block", "stem").unionByName(full.select(F.lit("given").alias("block"), F.col("g").alias("stem")))
-    stems = materialize(stems.groupBy("block", "stem").agg(F.count(F.lit(1)).alias("n")), "stems")
-    links = materialize(stem_links(stems.select("block", "stem")), "stem-links")
-    near = materialize(_near(links, "person", stems.where("block = 'person'").select("stem")), "near")
+    stems = _written(stems.groupBy("block", "stem").agg(F.count(F.lit(1)).alias("n")), "stems")
+    links = _written(stem_links(stems.select("block", "stem")), "stem-links")
+    near = _written(_near(links, "person", stems.where("block = 'person'").select("stem")), "near")
     given = _near(links, "given", full.select(F.col("g").alias("stem")).limit(0))
 
     pairs = spark.createDataFrame(rows, "short string, full string")
@@ -373,13 +381,13 @@ def entities(nodes: DataFrame, name_forms: DataFrame) -> DataFrame:
     # A surname and its rarer misspellings are one surname here: each stem counts as the most frequent of its neighbours.
     often = stems.where("block = 'person'").select(F.col("stem").alias("b"), "n")
     lead = near.join(often, "b").groupBy(F.col("a").alias("s")).agg(F.max_by("b", F.struct("n", "b")).alias("surname"))
-    surnames = materialize(full.join(lead, "s").select("surname", "g").distinct(), "surnames")
+    surnames = _written(full.join(lead, "s").select("surname", "g").distinct(), "surnames")
     learned = materialize(learned_forms(surnames, listed_full), "forms")
     forms = pairs.unionByName(learned).distinct()
     # A learned short form stands for what its partner stands for, too.
     further = learned.join(pairs.select(F.col("short").alias("full"), F.col("full").alias("f")), "full").select("short", F.col("f").alias("full"))
     vocabulary = full.select("g").distinct()
-    canon = materialize(vocabulary.select("g", F.col("g").alias("f")).unionByName(forms.unionByName(further).select(F.col("short").alias("g"), F.col("full").alias("f"))).distinct(), "canon")
+    canon = _written(vocabulary.select("g", F.col("g").alias("f")).unionByName(forms.unionByName(further).select(F.col("short").alias("g"), F.col("full").alias("f"))).distinct(), "canon")
     listed = materialize(forms.select(F.explode(F.array("short", "full")).alias("g")).distinct(), "listed")
 
     # A short stem of an organisation, which no given name confirms, only joins a stem that stands at least twice as often.
@@ -392,7 +400,7 @@ def entities(nodes: DataFrame, name_forms: DataFrame) -> DataFrame:
     orgs = p.where("kind = 'org'").join(classes, ["block", "stem"], "left").select("id", F.concat_ws("|", "block", F.coalesce("cluster", "stem")).alias("entity"))
     mine = classes.where("block = 'person'").select(F.col("stem").alias("r"), "cluster")
     whole = full.withColumn("r", F.concat_ws(".", "s", "g")).join(mine, "r", "left").select("s", "g", F.concat_ws("|", F.lit("person"), F.coalesce("cluster", "r")).alias("entity"))
-    whole = materialize(whole, "whole")
+    whole = _written(whole, "whole")
     others = placed(persons.where("form <> 'full'").select("s", "form", "g"), whole, near, canon)
     every = whole.select("s", F.lit("full").alias("form"), "g", "entity").unionByName(others)
     people = p.where("kind = 'person'").select("id", F.col("stem").alias("s"), "form", F.col("rest").alias("g"))

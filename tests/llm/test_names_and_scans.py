@@ -82,6 +82,20 @@ def test_steps_are_planned_once(spark, monkeypatch):
     assert max(scans_in.values()) <= 24, scans_in
 
 
+def test_large_tables_are_sorted(spark, monkeypatch):
+    """Spark sees compressed files: a table that would unpack beyond the limit isn't broadcast."""
+    chain = spark.createDataFrame([("p", f"{i:03d}", f"{i + 1:03d}") for i in range(9)], "block string, a string, b string")
+
+    def broadcasts(limit):
+        monkeypatch.setattr(names, "BROADCAST_BYTES", limit)
+        label = names.components(chain)
+        both = label.join(label.withColumnRenamed("cluster", "c"), ["block", "stem"])
+        assert {r["cluster"] for r in both.collect()} == {"000"}
+        return "BroadcastHashJoin" in both._jdf.queryExecution().executedPlan().toString()
+
+    assert broadcasts(1 << 30) and not broadcasts(100)
+
+
 def test_short_surnames(spark):
     rows = [(1, "Peter Smith"), (1, "Peter Smiht"), (1, "Smith, Peter"), (2, "Anna Meier"), (2, "Anna Maier"), (3, "Ole Lund"), (4, "Ole Berg"), (5, "Robert Smith"), (5, "Bob Smith"), (6, "Eva Li"), (7, "Eva Lu")]
     assert links(spark, [("person", n) for _, n in rows]) == groups(rows)
